@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import chat, quality, sharding
+from tidelog.llm import chat, langid, minhash, quality, sharding
 
 
 def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,10 +16,12 @@ def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_rules": _over("documents", quality.query),
+        "op4_minhash_dedup": _over("documents", minhash.query),
         "op5_sharding": _over("documents", sharding.query),
+        "op7_language_id": _over("documents", langid.query),
         "op8_chat_formatting": _over("conversations", chat.query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.sql(), "op8_chat_formatting": chat.sql()}
+    return {"op3_quality_rules": quality.sql(), "op4_minhash_dedup": minhash.sql(), "op8_chat_formatting": chat.sql()}
