@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import chat, langid, minhash, quality, sharding
+from tidelog.llm import chat, langid, minhash, packing, quality, sharding
 
 
 def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": _over("documents", quality.query),
         "op4_minhash_dedup": _over("documents", minhash.query),
         "op5_sharding": _over("documents", sharding.query),
+        "op6_best_fit_packing": _over("documents", packing.query),
         "op7_language_id": _over("documents", langid.query),
         "op8_chat_formatting": _over("conversations", chat.query),
     }
