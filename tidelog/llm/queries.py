@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import chat, langid, minhash, packing, quality, sharding
+from tidelog.llm import chat, langid, minhash, mixing, packing, quality, sharding
 
 
 def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -15,6 +15,7 @@ def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": _over("documents", mixing.query),
         "op3_quality_rules": _over("documents", quality.query),
         "op4_minhash_dedup": _over("documents", minhash.query),
         "op5_sharding": _over("documents", sharding.query),
