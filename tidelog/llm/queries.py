@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import chat, langid, minhash, mixing, packing, quality, sharding, warc
+from tidelog.llm import chat, langid, minhash, mixing, packing, quality, sharding, vectors, warc
 
 
 def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,6 +16,7 @@ def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": _over("documents", mixing.query),
+        "op10_embedding_dedup": _over("embeddings", vectors.query),
         "op2_warc": _over("pages", warc.query),
         "op3_quality_rules": _over("documents", quality.query),
         "op4_minhash_dedup": _over("documents", minhash.query),
