@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import chat, langid, minhash, mixing, packing, quality, sharding, vectors, warc
+from tidelog.llm import chat, langid, minhash, mixing, packing, quality, sharding, tokenfiles, vectors, warc
 
 
 def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_best_fit_packing": _over("documents", packing.query),
         "op7_language_id": _over("documents", langid.query),
         "op8_chat_formatting": _over("conversations", chat.query),
+        "op9_token_counts": _over("documents", tokenfiles.query),
     }
 
 
