@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "kind_counts"
+from tidelog.plans import tables
+
+FLAGSHIP = "segments_live_bytes"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(tables.FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(tables.SQL)
