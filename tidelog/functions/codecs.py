@@ -62,6 +62,29 @@ def _zle(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def _lz4_size(data: bytes) -> int:
+    """Bytes that an LZ4 block decodes to: each sequence's literals and copy, whose long lengths go on in 255s."""
+    at, size = 0, 0
+    while at < len(data):
+        token = data[at]
+        at += 1
+        for n, last in ((token >> 4, False), (token & 15, True)):
+            if last:
+                if at >= len(data):
+                    return size
+                at, n = at + 2, n + 4
+            if n == (19 if last else 15):
+                while True:
+                    more = data[at]
+                    n, at = n + more, at + 1
+                    if more < 255:
+                        break
+            size += n
+            if not last:
+                at += n
+    return size
+
+
 def decode(codec: str, data: bytes, size: int) -> bytes:
     """The block's bytes; a CodecError unless there are exactly `size`."""
     try:
@@ -77,7 +100,8 @@ def decode(codec: str, data: bytes, size: int) -> bytes:
             out = _lzjb(data, size)
         elif codec == "lz4":
             (n,) = struct.unpack_from(">I", data)
-            out = pa.Codec("lz4_raw").decompress(data[4 : 4 + n], size).to_pybytes() if size else b""
+            real = _lz4_size(data[4 : 4 + n])
+            out = bytes(real) if real != size or not size else pa.Codec("lz4_raw").decompress(data[4 : 4 + n], size).to_pybytes()
         elif codec == "zstd":
             (n,) = struct.unpack_from(">I", data)
             out = zstandard.ZstdDecompressor(format=zstandard.FORMAT_ZSTD1_MAGICLESS).decompress(data[8 : 8 + n], max_output_size=size + 1)
