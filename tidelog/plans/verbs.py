@@ -14,9 +14,15 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import codecs, wire
 from tidelog.operators import lineage, replay
+from tidelog.session import Scratch
 from tidelog.sources import stream
 
 
+def indexed(spark: SparkSession, path: str) -> DataFrame:
+    """The stream's records without payloads, read and decoded once and written as a table."""
+    return Scratch(spark, "stream").save(stream.records(spark, path), "records")
+
+
 class Inspection(NamedTuple):
     records: dict[str, int]
     stream_bytes: int
@@ -29,11 +35,11 @@ def inspect(spark: SparkSession, path: str, verify: bool = True) -> Inspection:
         bad = stream.verified(spark, path).where("not ok").orderBy("path", "seq").limit(1).collect()
         if bad:
             raise wire.StreamError(f"checksum of record {bad[0]['seq']} ({bad[0]['kind']}) in {bad[0]['path']}")
-    index = stream.frames(spark, path)
+    index = indexed(spark, path)
     counts = {r["kind"]: r["n"] for r in index.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     ends = index.groupBy("path").agg(F.max(F.col("at") + wire.RECORD + F.col("payload_length")).alias("end"))
     size = ends.agg(F.sum("end")).first()[0]
-    shown = [r.asDict() for r in stream.snapshots(stream.records(spark, path)).orderBy("idx").collect()]
+    shown = [r.asDict() for r in stream.snapshots(index).orderBy("idx").collect()]
     return Inspection(dict(sorted(counts.items())), size, shown)
 
 
@@ -108,7 +114,7 @@ def extract(spark: SparkSession, path: str, object_id: int, size: int, snapshot:
     """(lo, data) rows of an object's bytes as of a snapshot, up to size; what no row covers is zero."""
     if verify:
         inspect(spark, path)
-    recs = stream.records(spark, path)
+    recs = indexed(spark, path)
     snaps = stream.snapshots(recs)
     chain = lineage.chain(snaps, selected(snaps, snapshot))
     data = read_segments(object_segments(log_of(recs, snaps, chain), object_id))
@@ -165,7 +171,7 @@ def apply(spark: SparkSession, delta: str, target: str, size: int) -> str:
     if state.get("format_version") != 1:
         raise StateError("a state of another version")
     inspect(spark, delta)
-    recs = stream.records(spark, delta)
+    recs = indexed(spark, delta)
     snaps = stream.snapshots(recs)
     rows = snaps.limit(2).collect()
     if len(rows) != 1:
