@@ -6,8 +6,8 @@ Plan, in tables that are written once each:
    form a class; its smallest document stands for it from here on, so copies cost nothing further.
 2. Candidates: representatives that agree on a band share a bucket. Each is paired with the bucket's smallest member
    only, so a bucket of thousands makes thousands of pairs, not millions. Pairs are verified on their full sets.
-3. What a bucket's smallest member does not join is compared in full: members of one bucket that are in different
-   components still. Small buckets are joined with themselves; large ones are compared in blocks, by signatures first.
+3. Members of one bucket that are in different components still are compared in full: those outside its largest
+   component with all of other components. Small buckets are joined with themselves, large ones compared in blocks.
 4. Components of all verified pairs.
 
 Every pair that shares a bucket is thus verified or already connected: nothing is capped.
@@ -28,10 +28,12 @@ from tidelog.session import Scratch
 
 #: 25 bands of 5: a pair at similarity 0.85 shares none with a chance of 4e-7, one at 0.8 with 5e-5.
 BANDS, ROWS = 25, 5
-#: A bucket of more members that are still apart is compared in blocks of this size.
-BLOCK = 64
-#: A pair's share of equal signature places may fall short of the similarity asked for by this: over 5 deviations.
-SLACK = 0.2
+#: A bucket of more members that are still apart is compared in blocks, of this many members and as many that ask.
+SMALL, BLOCK = 16, 512
+#: A pair's percentage of equal signature places may fall short of the similarity asked for by this: 6 deviations.
+SLACK = 20
+#: Bits of a Bloom filter at most: 16 MB.
+BLOOM = 1 << 27
 
 
 def super_min_hash(elements: np.ndarray, row: np.ndarray, rows: int, m: int) -> np.ndarray:
@@ -47,7 +49,7 @@ def super_min_hash(elements: np.ndarray, row: np.ndarray, rows: int, m: int) ->
     for j in range(m):
         if not len(elements):
             break
-        step = np.uint64(0x9E3779B97F4A7C15) * np.uint64(2 * j + 1)
+        step = np.uint64(0x9E3779B97F4A7C15 * (2 * j + 1) & (1 << 64) - 1)
         drawn = mixed(elements + step)
         pick = (j + ((drawn & np.uint64(0xFFFFFF)) * np.uint64(m - j) >> np.uint64(24))).astype(np.int64)
         each = np.arange(len(elements))
@@ -78,7 +80,7 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return mixed(total + mixed(np.arange(bands, dtype=np.uint64) + np.uint64(77)))
 
 
-SKETCH = "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>, signature binary"
+SKETCH = "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>, signature array<short>"
 
 
 def _longs(x: np.ndarray) -> pa.Array:
@@ -104,55 +106,124 @@ def sketch_batches(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]]
                 signatures = super_min_hash(flat, row, len(sets), bands * rows)
                 keys = band_keys(signatures, bands, rows)
                 offsets = np.concatenate(([0], np.cumsum(np.where(size > 0, bands, 0)))).astype(np.int32)
-                short = np.ascontiguousarray(mixed(signatures) & np.uint64(0xFFFF)).astype("<u2")
+                short = (mixed(signatures[has]) & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
+                places = pa.array(offsets * np.int32(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0).cast(pa.int64()), pa.array(size), _longs(marks[0]), _longs(marks[1]), pa.ListArray.from_arrays(pa.array(offsets), _longs(keys[has].ravel())), pa.array([s.tobytes() if n else None for s, n in zip(short, size, strict=True)], pa.binary())],
+                    [piece.column(0).cast(pa.int64()), pa.array(size), _longs(marks[0]), _longs(marks[1]), pa.ListArray.from_arrays(pa.array(offsets), _longs(keys[has].ravel())), pa.ListArray.from_arrays(places, pa.array(short.ravel()))],
                     names=["doc_id", "n_shingles", "print_a", "print_b", "bands", "signature"],
                 )
 
     return work
 
 
-def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From batches (doc_id, text) to (doc_id, shingles)."""
-    for batch in batches:
-        for piece in in_pieces(batch, 1):
-            sets = list(shingle_sets(*word_hashes(*bytes_of(piece.column(1)))))
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), _longs(np.concatenate(sets) if sets else np.zeros(0, np.uint64)))], names=["doc_id", "shingles"])
+def bloom(ids: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of n ids (one column of longs) as 64-bit words: 16 bits for each id, BLOOM bits at most.
 
+    Words are combined by Spark; only the filter, whose size has that bound, reaches the driver. One that is too full
+    lets every id pass, which costs time and nothing else.
+    """
+    bits = min(BLOOM, max(1 << 10, 1 << (16 * n - 1).bit_length()))
+    hashed = ids.select(F.explode(F.array(*[F.xxhash64(ids.columns[0], F.lit(k)).bitwiseAND(F.lit(bits - 1)) for k in (1, 2)])).alias("bit"))
+    words = hashed.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def set_batches(words: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches (doc_id, text, bit, bit) to (doc_id, shingles) for those whose bits are both in the filter."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = np.ones(batch.num_rows, bool)
+            for c in (2, 3):
+                bit = batch.column(c).to_numpy()
+                held &= (words[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            for piece in in_pieces(batch.select([0, 1]).filter(pa.array(held)), 1):
+                sets = list(shingle_sets(*word_hashes(*bytes_of(piece.column(1)))))
+                offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(offsets), _longs(np.concatenate(sets) if sets else np.zeros(0, np.uint64)))], names=["doc_id", "shingles"])
+
+    return work
+
+
+def sets_of(ids: DataFrame, documents: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(doc_id, shingles) for ids (one column), and for some documents more.
 
-def verified(pairs: DataFrame, documents: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    The sets are made from the texts anew, where these are read: a Bloom filter picks the texts, so none is shuffled.
+    """
+    need = scratch.save(ids.toDF("doc_id").distinct(), f"{name}-need")
+    words = bloom(need, need.count())
+    bit = [F.xxhash64("doc_id", F.lit(k)).bitwiseAND(F.lit(64 * len(words) - 1)) for k in (1, 2)]
+    made = documents.where("doc_id is not null").select("doc_id", "text", *[b.alias(f"bit_{k}") for k, b in enumerate(bit)]).mapInArrow(set_batches(words), "doc_id long, shingles array<long>")
+    out = scratch.save(made, name)
+    scratch.drop(f"{name}-need")
+    return out
+
+
+def alike(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) whose signatures (doc_id, signature) agree in enough places to be verified."""
+    signed = lambda end: signatures.select(F.col("doc_id").alias(end), F.col("signature").alias(f"signature_{end}"))
+    same = F.size(F.filter(F.zip_with("signature_a", "signature_b", lambda x, y: x == y), lambda x: x))
+    return pairs.join(signed("a"), "a").join(signed("b"), "b").where(100 * same >= (percent - SLACK) * F.size("signature_a")).select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of document ids whose full shingle sets have 100 * intersection >= percent * union."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = documents.select("doc_id", "text").join(need, "doc_id", "left_semi")
-    sets = scratch.save(texts.mapInArrow(set_batches, "doc_id long, shingles array<long>"), f"{name}-sets")
     of = lambda end: sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(f"set_{end}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    close = both.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common))
-    out = scratch.save(close.select("a", "b").distinct(), f"{name}-links")
-    scratch.drop(f"{name}-sets")
-    return out
+    return both.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b").distinct()
+
+
+def _rows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A list column's values, and its rows' offsets in them."""
+    lists = column.combine_chunks()
+    at = lists.offsets.to_numpy()
+    return lists.values.to_numpy()[at[0] : at[-1]], at - at[0]
 
 
-def block_pairs(least: float, m: int) -> Callable[[tuple, pa.Table], pa.Table]:
-    """Compares two blocks of one bucket: pairs in different components whose signatures agree in a share `least`."""
+def block_links(percent: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Compares a block of a bucket's minor members (asks) with a block of all its members, on their full sets.
+
+    A pair of different components is compared in the bucket of the first band that both share, if their signatures
+    are near enough. Links that join what others here have joined already are not handed on, so that the links of a
+    block are fewer than its members.
+    """
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        ids = table["doc_id"].to_numpy()
-        label, block = table["label"].to_numpy(), table["block"].to_numpy()
-        signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(len(ids), m)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found_a, found_b = [], []
-        for x in left.tolist():
-            others = right[(label[right] != label[x]) & ((ids[right] > ids[x]) | (i != j))]
-            close = others[(signatures[others] == signatures[x]).mean(axis=1) >= least] if len(others) else others
-            found_a.append(np.full(len(close), ids[x]))
-            found_b.append(ids[close])
-        a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_a, found_b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        bucket = key[0].as_py()
+        ids, label, asks = table["rep"].to_numpy(), table["label"].to_numpy(), table["asks"].to_numpy(zero_copy_only=False)
+        signatures = _rows(table["signature"])[0].reshape(len(ids), -1)
+        bands = _rows(table["bands"])[0].reshape(len(ids), -1)
+        values, at = _rows(table["shingles"])
+        size = np.diff(at)
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        links = []
+        block = np.flatnonzero(~asks)
+        for x in np.flatnonzero(asks).tolist():
+            others = block[label[block] != label[x]]
+            shared = bands[others] == bands[x]
+            others = others[bands[x][np.argmax(shared, axis=1)] == bucket] if len(others) else others
+            others = others[100 * (signatures[others] == signatures[x]).mean(axis=1) >= percent - SLACK] if len(others) else others
+            if not len(others):
+                continue
+            flat = np.concatenate([values[at[y] : at[y + 1]] for y in others.tolist()])
+            own = np.sort(values[at[x] : at[x + 1]])
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            common = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(size[others])[:-1])))
+            for y in others[100 * common >= percent * (size[x] + size[others] - common)].tolist():
+                a, b = top(int(label[x])), top(int(label[y]))
+                if a != b:
+                    root[a] = b
+                    links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return work
 
@@ -178,29 +249,42 @@ def grouped(documents: DataFrame, scratch: Scratch, percent: int = 80, bands: in
     buckets = scratch.save(entries.join(shared, "bucket").select("bucket", "rep", "center", "size"), "buckets")
     scratch.drop("shared")
     starred = scratch.save(buckets.where("center < rep").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "starred")
-    links = verified(starred, narrow, percent, scratch, "star")
+    signatures = sketches.where("n_shingles > 0 and doc_id is not null").select("doc_id", "signature")
+    near = scratch.save(alike(starred, signatures, percent), "near")
+    sets = sets_of(near.select("a").union(near.select("b")), narrow, scratch, "star-sets")
+    links = scratch.save(verified(near, sets, percent), "star-links")
+    scratch.drop("star-sets", "near")
     labels = components(links, scratch, "stars")
 
-    # what stars left apart within a bucket
+    # What stars left apart within a bucket: members outside its largest component are compared with all of others.
     placed = scratch.save(buckets.join(labels, buckets["rep"] == labels["node"], "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label")), "placed")
     scratch.drop("buckets")
-    apart = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-    apart = scratch.save(apart.select("bucket", "size"), "apart")
-    left = scratch.save(placed.join(apart, "bucket"), "left")
+    parts = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    apart = parts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size")).where("labels > 1")
+    apart = scratch.save(apart.select("bucket", "main", "size"), "apart")
+    left = scratch.save(placed.join(apart, "bucket").select("bucket", "rep", "label", "size", (F.col("label") != F.col("main")).alias("minor")), "left")
     scratch.drop("apart", "placed")
-    small = left.where(f"size <= {BLOCK}").select("bucket", "rep", "label")
-    x, y = small.select("bucket", F.col("rep").alias("a"), F.col("label").alias("la")), small.select("bucket", F.col("rep").alias("b"), F.col("label").alias("lb"))
-    pairs = x.join(y, "bucket").where("a < b and la <> lb").select("a", "b")
-    signed = sketches.select(F.col("doc_id").alias("rep"), "signature").dropDuplicates(["rep"])
-    large = left.where(f"size > {BLOCK}").join(signed, "rep")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    large = large.withColumn("block", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    large = large.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("rep").alias("doc_id"), "label", "block", "signature")
-    blocks = large.groupBy("bucket", "i", "j").applyInArrow(block_pairs(percent / 100 - SLACK, bands * rows), "a long, b long")
-    rest = scratch.save(pairs.union(blocks).distinct().join(starred, ["a", "b"], "left_anti"), "rest")
-    more = verified(rest, narrow, percent, scratch, "rest")
+    small = left.where(f"size <= {SMALL}")
+    x = small.where("minor").select("bucket", F.col("rep").alias("x"), F.col("label").alias("lx"))
+    y = small.select("bucket", F.col("rep").alias("y"), F.col("label").alias("ly"))
+    pairs = x.join(y, "bucket").where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    near = scratch.save(alike(pairs.join(starred, ["a", "b"], "left_anti"), signatures, percent), "near")
+    large = left.where(f"size > {SMALL}")
+    sets = sets_of(near.select("a").union(near.select("b")).union(large.select("rep")), narrow, scratch, "rest-sets")
+    more = scratch.save(verified(near, sets, percent), "rest-links")
+
+    counts = large.groupBy("bucket").agg(F.sum(F.col("minor").cast("int")).alias("minors"))
+    whole = sketches.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("rep"), "signature", "bands")
+    large = large.join(counts, "bucket").join(whole, "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    at = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(F.col(n) / BLOCK)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / BLOCK).cast("int") - 1))
+    told = ["rep", "label", "signature", "bands", "shingles"]
+    asked = large.select("bucket", every("minors").alias("i"), at("size").alias("j"), F.lit(False).alias("asks"), *told)
+    asking = large.where("minor").select("bucket", at("minors").alias("i"), every("size").alias("j"), F.lit(True).alias("asks"), *told)
+    blocks = scratch.save(asked.union(asking).groupBy("bucket", "i", "j").applyInArrow(block_links(percent), "a long, b long").distinct(), "block-links")
+    more = more.union(blocks)
     final = components(links.union(more), scratch, "all")
-    scratch.drop("sketches", "starred", "rest", "left")
+    scratch.drop("sketches", "starred", "rest-sets", "near", "left")
 
     out = members.join(final, members["rep"] == final["node"], "left")
     component = F.coalesce("label", "rep")
