@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import codecs, text, wire
 from tidelog.operators import lineage, replay
+from tidelog.streaming import replay as streaming
 
 BLOCK = 4096
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,9 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table `events` as a replay log: a change per event, an object per user, a snapshot per day."""
+    return as_log(table(spark, sf_dir, "events"))
+
+
+def as_log(e: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type") == "signup", "OBJECT").when(F.col("event_type").isin("view", "click"), "WRITE").when(F.col("event_type") == "purchase", "FREE").otherwise("FREEOBJECTS")
     lo = F.expr(f"(event_id * 7 % 64) * {BLOCK}")
-    e = table(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("seq"), F.col("user_id").alias("object"), kind.alias("kind"), lo.alias("lo"), (lo + BLOCK * (1 + F.col("event_id") % 4)).alias("hi"),
         F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long").alias("to_guid"), "event_type", "value", "props",
@@ -405,3 +409,10 @@ def pages_block_scan(spark, d):
 
     back = table(spark, d, "pages").select("page_id", "html").mapInPandas(round_trip, "page_id long, data binary")
     return back.select("page_id", F.sha2("data", 256).alias("digest"), F.octet_length("data").cast("long").alias("bytes"))
+
+
+@query(f"with {GRID} select object, (select max(seq) from log l where l.object = o.object) as last_seq, coalesce((select count(*) from grid g where g.object = o.object and g.kind = 'WRITE'), 0)::bigint * {BLOCK} as live_bytes from (select distinct object from log) o")
+def streaming_replay(spark, d):
+    events = table(spark, d, "events")
+    arriving = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")  # a pattern, as it may be a file or a folder
+    return streaming.replayed(as_log(arriving))
