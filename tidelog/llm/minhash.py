@@ -240,7 +240,7 @@ def grouped(documents: DataFrame, scratch: Scratch, percent: int = 80, bands: in
     prints = ["print_a", "print_b", "n_shingles"]
     copies = full.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
     copies = scratch.save(copies, "copies")
-    members = scratch.save(sketches.join(copies, prints, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")), F.col("bands")).alias("bands")), "members")
+    members = scratch.save(sketches.join(copies, prints, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"), F.when(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")), F.col("bands")).alias("bands")), "members")
     scratch.drop("copies")
 
     entries = members.where("n_shingles > 0 and rep is not null").select("rep", F.explode("bands").alias("bucket"))

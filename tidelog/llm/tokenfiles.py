@@ -105,7 +105,8 @@ def query(documents: DataFrame) -> DataFrame:
     """Each document's count, read back from files that its row was written to.
 
     The files hold no document ids: rows are written in the order in which Spark reads them, and the manifest numbers
-    the same reading. A document without a count, or a count without a document, is an error.
+    the same reading. documents must therefore be a table as it is read, since a shuffled frame may come in another
+    order each time. A document without a count, or a count without a document, is an error.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "tokens")
