@@ -55,9 +55,14 @@ def features(column: pa.Array) -> np.ndarray:
 
 
 def weighed(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
-    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return x / np.where(norm > 0, norm, 1)
+    """counts, float32, turned in place into vectors of length 1 (or 0), a slice of rows at a time."""
+    for lo in range(0, len(counts), 64):
+        x = counts[lo : lo + 64]
+        np.log1p(x, out=x)
+        x *= idf
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        x /= np.where(norm > 0, norm, 1)
+    return counts
 
 
 def clustered(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -78,11 +83,14 @@ def clustered(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 
 def counted_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, lang, text) to (doc_id, lang, counts as float32 bytes)."""
+    """From (doc_id, lang, text) to (doc_id, lang, places, counts): counts that are not 0, as 16-bit places and
+    float32 bytes."""
     for batch in batches:
         for piece in in_pieces(batch, 2):
             found = features(piece.column(2))
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "lang", "counts"])
+            places = [np.flatnonzero(x).astype(np.uint16) for x in found]
+            counts = [x[p].tobytes() for x, p in zip(found, places, strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([p.tobytes() for p in places], pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "lang", "places", "counts"])
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -98,13 +106,16 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     share = max(1, sample // len(sizes))
     ranked = (F.xxhash64("doc_id", F.lit(7)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).alias("u")
     most = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, share / n))])
-    taken = rows.where(ranked < F.element_at(most, F.col("lang"))).mapInArrow(counted_batches, "doc_id long, lang string, counts binary")
+    taken = rows.where(ranked < F.element_at(most, F.col("lang"))).mapInArrow(counted_batches, "doc_id long, lang string, places binary, counts binary")
     got = sorted(taken.limit(2 * sample).collect(), key=lambda r: (r["lang"], r["doc_id"]))
     if not got:
         return None
-    counts = np.stack([np.frombuffer(r["counts"], np.float32) for r in got])
+    counts = np.zeros((len(got), DIMS), np.float32)
+    for k, r in enumerate(got):
+        counts[k, np.frombuffer(r["places"], np.uint16)] = np.frombuffer(r["counts"], np.float32)
     tags = np.array([r["lang"] for r in got])
-    idf = np.log((1 + len(got)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32)
+    del got
+    idf = np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))).astype(np.float32)
     x = weighed(counts, idf)
     langs = sorted(set(tags.tolist()))
     owner, centroids, floor = [], [], []
