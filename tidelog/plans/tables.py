@@ -278,10 +278,11 @@ def overlay_merge(spark, d):
 
 @query("select l_orderkey, l_linenumber, coalesce(sum(l_quantity::bigint) over (partition by l_orderkey order by l_linenumber rows between unbounded preceding and 1 preceding), 0)::bigint as byte_offset from lineitem where l_linenumber is not null qualify count(*) over (partition by l_orderkey, l_linenumber) = 1")
 def prefix_offsets(spark, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, -1)
-    once = F.count(F.lit(1)).over(Window.partitionBy("l_orderkey", "l_linenumber"))
-    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(F.sum(F.col("l_quantity").cast("long")).over(w), F.lit(0)).alias("byte_offset"), once.alias("once"))
-    return items.where("once = 1").drop("once")
+    """Every row; lines that share a number follow one another by their remaining columns."""
+    items = table(spark, d, "lineitem")
+    rest = [c for c in items.columns if c not in ("l_orderkey", "l_linenumber")]
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", *rest).rowsBetween(Window.unboundedPreceding, -1)
+    return items.select("l_orderkey", "l_linenumber", F.coalesce(F.sum(F.col("l_quantity").cast("long")).over(w), F.lit(0)).alias("byte_offset"))
 
 
 @query("select l_orderkey, l_linenumber, l_partkey // 32 as block, l_partkey % 32 as slot, (l_partkey >> 7) as indirect, count(*)::bigint as n from lineitem group by all")
