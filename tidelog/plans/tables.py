@@ -135,7 +135,7 @@ def selector_resolution(spark, d):
 
 @query(f"with {LOG} select seq, object, (select arg_max(l.to_guid, l.seq) from log l where l.object = g.object and l.kind = 'OBJECT' and l.seq <= g.seq) as active from log g where object % 10 = 0")
 def active_substream_ffill(spark, d):
-    log = event_log(spark, d).where("object % 10 = 0").withColumn("active", F.when(F.col("kind") == "OBJECT", F.col("to_guid")))
+    log = event_log(spark, d).withColumn("active", F.when(F.col("kind") == "OBJECT", F.col("to_guid")))
     return replay.forward_filled(log, "active", ["object"], "seq").select("seq", "object", "active")
 
 
