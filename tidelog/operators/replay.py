@@ -36,10 +36,21 @@ def live(log: DataFrame, object_type: str | None = None) -> DataFrame:
 
 
 def expanded_frees(log: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Rows of log without those that a later range of freed objects covers; ranges: seq, first_object, count."""
-    r = ranges.select(F.col("seq").alias("freed_at"), "first_object", (F.col("first_object") + F.col("count")).alias("stop"))
-    hit = (F.col("seq") < F.col("freed_at")) & (F.col("object") >= F.col("first_object")) & (F.col("object") < F.col("stop"))
-    return log.join(r, hit, "left_anti")
+    """Rows of log without those that a later range of freed objects covers; ranges: seq, first_object, count.
+
+    Ranges are cut into aligned blocks of 2^level objects, two a level at most, so that they meet objects on a key
+    however long they are; an object is freed by the latest of the ranges that cover it.
+    """
+    r = ranges.where("count > 0").select("seq", F.col("first_object").cast("long").alias("lo"), (F.col("first_object") + F.col("count")).cast("long").alias("stop"))
+    r = r.withColumn("level", F.explode(F.expr("sequence(0, length(bin(stop - lo)) - 1)")))
+    r = r.withColumn("a", F.expr("-shiftright(-lo, level)")).withColumn("b", F.expr("shiftright(stop, level)")).where("a < b")
+    ends = F.array(F.when(F.col("a") % 2 != 0, F.col("a")), F.when(F.col("b") % 2 != 0, F.col("b") - 1))
+    blocks = r.withColumn("block", F.explode(F.filter(ends, lambda x: x.isNotNull()))).groupBy("level", "block").agg(F.max("seq").alias("seq"))
+    levels = blocks.select("level").distinct()  # a row per level, 64 at most
+    objects = log.select("object").distinct().crossJoin(F.broadcast(levels)).withColumn("block", F.expr("shiftright(cast(object as bigint), level)"))
+    freed = objects.join(blocks, ["level", "block"]).groupBy("object").agg(F.max("seq").alias("freed_at"))
+    f = freed.withColumnRenamed("object", "freed")
+    return log.join(f, (F.col("object") == F.col("freed")) & (F.col("seq") < F.col("freed_at")), "left_anti")
 
 
 def segments(log: DataFrame, grain: int = 1 << 20) -> DataFrame:
