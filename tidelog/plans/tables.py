@@ -78,8 +78,9 @@ def header_projection(spark, d):
 
 @query(f"with {LOG}, plan as (select distinct to_guid from log where to_guid % 3 = 0) select to_guid, count(*)::bigint as records from log where to_guid in (select to_guid from plan) group by to_guid")
 def substream_filter(spark, d):
+    """Records of the substreams that restoring the last snapshot needs: its chain of bases."""
     log = event_log(spark, d)
-    plan = log.where("to_guid % 3 = 0").select("to_guid").distinct()
+    plan = ancestry_chain(spark, d).select("to_guid")
     return log.join(plan, "to_guid", "left_semi").groupBy("to_guid").agg(F.count(F.lit(1)).alias("records"))
 
 
@@ -170,7 +171,7 @@ g as (select object, b * {BLOCK} as glo, (b + 1) * {BLOCK} as ghi, seq from grid
 select object, window_id, sum(least(hi, ghi) - greatest(lo, glo))::bigint as bytes, max(seq) as last_seq from w join g using (object) where glo < hi and ghi > lo group by object, window_id""")
 def positioned_read(spark, d):
     log = alive(spark, d)
-    objects = event_log(spark, d).where("object % 5 = 0").select("object").distinct()
+    objects = event_log(spark, d).select("object").distinct()
     windows = objects.select("object", F.explode(F.expr("sequence(0L, 3L)")).alias("window")).withColumn("lo", F.col("window") * 50000).withColumn("hi", F.col("lo") + 30000)
     read = replay.positioned_reads(windows, replay.segments(log, 16 * BLOCK), 16 * BLOCK)
     return read.groupBy("object", F.col("window").alias("window_id")).agg(F.sum(F.col("hi") - F.col("lo")).alias("bytes"), F.max("seq").alias("last_seq"))
@@ -232,7 +233,7 @@ def key_inheritance(spark, d):
 
 @query("select c_name as label, 'head' as view_kind from customer where c_custkey % 5 = 0 union all select s_name, 'snapshot' from supplier")
 def catalog_views_union(spark, d):
-    heads = table(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_name").alias("label"), F.lit("head").alias("view_kind"))
+    heads = table(spark, d, "customer").select(F.col("c_name").alias("label"), F.lit("head").alias("view_kind"))
     return table(spark, d, "supplier").select(F.lit("snapshot").alias("view_kind"), F.col("s_name").alias("label")).unionByName(heads).select("label", "view_kind")
 
 
