@@ -23,8 +23,11 @@ DIMS = 4096
 #: The model is fitted on about this many labelled texts, shared equally among the languages, twice that at most.
 SAMPLE = 3000
 CLUSTERS = 4
-#: A text is rejected below this share of the cosine that 99 % of a centroid's own texts reach.
-REJECT = 0.1
+#: Clusters with less than this share of a language's texts are outliers and give no centroid.
+LEAST = 0.01
+#: A text is rejected below this share of the cosine that 99 % of a centroid's own texts reach. At sf0.1 junk and code
+#: come to 0.22 of it at most; 99.7 % of 4,000 documents come to 0.77 at least.
+REJECT = 0.5
 UNKNOWN = "und"
 
 
@@ -66,20 +69,20 @@ def weighed(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def clustered(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
-    """Centroids at length 1 of k clusters at most: from the mean's nearest row, then each time the row farthest from
-    all centroids so far, then Lloyd's rounds."""
-    chosen = [int(np.argmax(x @ x.mean(axis=0)))]
+    """Centroids at length 1 of k clusters at most: from the mean's nearest row, then rows drawn by their distance to
+    the centroids so far (k-means++, the same on every run), then Lloyd's rounds. Clusters of outliers are dropped."""
+    chosen, draw = [int(np.argmax(x @ x.mean(axis=0)))], np.random.default_rng(7)
     for _ in range(min(k, len(x)) - 1):
-        far = (x @ x[chosen].T).max(axis=1)
-        if far.min() > 0.999:
+        far = np.clip(1 - (x @ x[chosen].T).max(axis=1).astype(np.float64), 0, None)
+        if far.max() < 0.001:
             break
-        chosen.append(int(np.argmin(far)))
+        chosen.append(int(draw.choice(len(x), p=far / far.sum())))
     c = x[chosen]
     for _ in range(rounds):
         own = np.argmax(x @ c.T, axis=1)
         sums = np.stack([x[own == i].sum(axis=0) if (own == i).any() else c[i] for i in range(len(c))])
         c = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1, keepdims=True)), 1e-12)
-    return c
+    return c[np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c)) >= max(1, LEAST * len(x))]
 
 
 def counted_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
