@@ -44,6 +44,15 @@ def weights(spark: SparkSession, margin: str, given: dict[str, float]) -> DataFr
     return spark.createDataFrame([(k, float(v)) for k, v in given.items()], f"{margin} string, target double")
 
 
+def completed(cells: DataFrame, margin: str, given: dict[str, float], power: float) -> DataFrame:
+    """(margin, target) from given weights, and for categories without one, nulls' too, their tempered share: the
+    weights part what is left of the total."""
+    told = weights(cells.sparkSession, margin, given)
+    found = tempered(cells, margin, power).withColumnRenamed("target", "own").join(F.broadcast(told), margin, "left")
+    sums = found.agg(F.sum(F.when(F.col("target").isNotNull(), F.col("own"))).alias("__listed"), F.sum("target").alias("__weights"))
+    return found.crossJoin(F.broadcast(sums)).select(margin, F.coalesce(F.try_divide(F.col("target") * F.col("__listed"), F.col("__weights")), F.when(F.col("target").isNull(), F.col("own"))).alias("target"))
+
+
 def with_goals(cells: DataFrame, targets: dict[str, DataFrame], fraction: float) -> DataFrame:
     """cells with the tokens that each one's category of every margin shall give: goal_<margin>.
 
@@ -112,12 +121,12 @@ def uniform(doc_id: Column) -> Column:
 
 
 def mixed(documents: DataFrame, fraction: float, lang: dict[str, float] | None, source_power: float, topic_power: float, lang_power: float = 1.0) -> DataFrame:
-    """margined(documents) with p, weight and sampled. Rows that repeat a doc_id are all taken or all left."""
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "mixing")
+    """margined(documents) with p, weight and sampled. Rows that repeat a doc_id are all taken or all left. Languages
+    that `lang` gives no weight keep their tempered share; it parts the rest."""
+    scratch = Scratch(documents.sparkSession, "mixing")
     rows = margined(documents)
     cells = scratch.save(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n_tokens")), "sums")
-    langs = tempered(cells, "lang", lang_power) if lang is None else weights(spark, "lang", lang)
+    langs = tempered(cells, "lang", lang_power) if lang is None else completed(cells, "lang", lang, lang_power)
     targets = {"source": tempered(cells, "source", source_power), "lang": langs, "topic": tempered(cells, "topic", topic_power)}
     found = raked(cells, targets, fraction, scratch).drop("n_tokens")
     return rows.join(found, list(MARGINS)).withColumn("sampled", uniform(F.col("row.doc_id")) < F.col("p"))
