@@ -7,6 +7,8 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.session import Scratch
+
 #: Snapshots that a catalog may hold.
 DEEPEST = 65_536
 
@@ -84,15 +86,21 @@ def latest_rows(df: DataFrame, by: list[str], order: str) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))).where("rn = 1").drop("rn")
 
 
-def inherited(nodes: DataFrame, node: str, parent: str, value: str, hops: int = 64) -> DataFrame:
-    """nodes (node, parent, value): where value is null, the nearest ancestor's. At most `hops` steps up; a loop ends
-    without one. Nodes that have a value, or no parent left, do not take part in later steps."""
-    done = nodes.select(F.col(node).alias("node"), F.col(value).alias("value"), F.col(parent).alias("up"))
-    for _ in range(hops):
+def inherited(nodes: DataFrame, node: str, parent: str, value: str) -> DataFrame:
+    """nodes (node, parent, value; a row per node): where value is null, the nearest ancestor's, however far up.
+
+    An open node points at an ancestor and takes over its value, or what it points at in turn, so that each round
+    doubles the steps. Nodes that are still open after as many steps as there are nodes are in, or under, a loop: null.
+    """
+    scratch = Scratch(nodes.sparkSession, "inherited")
+    done = scratch.save(nodes.select(F.col(node).alias("node"), F.col(value).alias("value"), F.col(parent).alias("up")), "round-0")
+    rounds = done.count().bit_length()  # 2^rounds is more than the nodes
+    for k in range(1, rounds + 1):
         open_ = done.where("value is null and up is not null")
         if open_.limit(1).count() == 0:
             break
-        above = nodes.select(F.col(node).alias("up"), F.col(value).alias("above"), F.col(parent).alias("further"))
+        above = done.select(F.col("node").alias("up"), F.col("value").alias("above"), F.col("up").alias("further"))
         stepped = open_.join(above, "up", "left").select("node", F.col("above").alias("value"), F.col("further").alias("up"))
-        done = done.where("value is not null or up is null").union(stepped)
+        done = scratch.save(done.where("value is not null or up is null").union(stepped), f"round-{k}")
+        scratch.drop(f"round-{k - 1}")
     return done.select(F.col("node").alias(node), F.col("value").alias(value))
