@@ -211,8 +211,8 @@ def transactions(records: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per capture: capture_id, capture, request, metadata (structs of a record), n_requests, n_metadata.
 
     A capture is a response or revisit record. Another record belongs to it if either names the other as concurrent,
-    or if a third that belongs to it is named by or names that record; of several captures to the first by
-    identifier. Of several requests, or metadata records, the first by identifier is nested and all are counted.
+    or if a third that belongs to it is named by or names that record, over any number of records in between; of
+    several captures to one with the fewest in between, the first by identifier. Of several requests, or metadata records, the first by identifier is nested and all are counted.
     Records that repeat an identifier count once. A record that no capture is found for is a row of its own, with a
     null capture. records are read several times: hand over a written table.
     """
@@ -222,10 +222,21 @@ def transactions(records: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = named.union(named.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     mains = ids.where("main").select(F.col("record_id").alias("b")).distinct()
     direct = scratch.save(pairs.join(mains, "b").groupBy("a").agg(F.min("b").alias("capture_id")), "direct")
-    hop = pairs.join(direct.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("capture_id").alias("over"))
+    reached = last = direct
+    settled = direct.select("a").union(mains.select(F.col("b").alias("a")))
+    k = 0
+    while True:  # once for each record in between
+        rest = scratch.save(pairs.join(settled, "a", "left_anti"), f"rest-{k}")
+        if rest.limit(1).count() == 0:
+            break
+        k += 1
+        last = scratch.save(rest.join(last.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("capture_id").alias("capture_id")), f"over-{k}")
+        if last.limit(1).count() == 0:
+            break
+        reached, pairs, settled = reached.union(last), rest, last.select("a")
     others = records.where(~F.col("type").isin(*MAIN) | F.col("record_id").isNull()).select("record_id", "type", whole.alias("record"))
-    owned = others.join(direct, others["record_id"] == direct["a"], "left").drop("a").join(hop, others["record_id"] == hop["a"], "left").drop("a")
-    owned = owned.select("type", "record_id", "record", F.coalesce("capture_id", "over", "record_id").alias("capture_id"))
+    owned = others.join(reached, others["record_id"] == reached["a"], "left").drop("a")
+    owned = owned.select("type", "record_id", "record", F.coalesce("capture_id", "record_id").alias("capture_id"))
     pick = lambda kind: F.min_by("record", F.when(F.col("type") == kind, F.col("record_id"))).alias(kind)
     count = lambda kind: F.count_distinct(F.when(F.col("type") == kind, F.col("record_id")))
     sides = owned.groupBy("capture_id").agg(F.min_by("record", F.when(F.col("type") == "request", F.col("record_id"))).alias("request"), pick("metadata"), count("request").alias("n_requests"), count("metadata").alias("n_metadata"))
