@@ -76,14 +76,6 @@ def header_projection(spark, d):
     return event_log(spark, d).select("seq", tag.cast("int").alias("tag"), "kind")
 
 
-@query(f"with {LOG}, plan as (select distinct to_guid from log where to_guid % 3 = 0) select to_guid, count(*)::bigint as records from log where to_guid in (select to_guid from plan) group by to_guid")
-def substream_filter(spark, d):
-    """Records of the substreams that restoring the last snapshot needs: its chain of bases."""
-    log = event_log(spark, d)
-    plan = ancestry_chain(spark, d).select("to_guid")
-    return log.join(plan, "to_guid", "left_semi").groupBy("to_guid").agg(F.count(F.lit(1)).alias("records"))
-
-
 @query(f"with {LOG} select seq, kind, lo, hi from log where object = 17")
 def object_filter_pushdown(spark, d):
     return event_log(spark, d).where("object = 17").select("seq", "kind", "lo", "hi")
@@ -121,6 +113,15 @@ def ancestry_chain(spark, d):
     return lineage.chain(snaps, snaps.agg(F.max("idx")).first()[0])
 
 
+@query(f"""with recursive {SNAPS}, plan as (select to_guid, from_guid from snaps where idx = (select max(idx) from snaps) union all select s.to_guid, s.from_guid from plan p join snaps s on s.to_guid = p.from_guid)
+select to_guid, count(*)::bigint as records from log where to_guid in (select to_guid from plan) group by to_guid""")
+def substream_filter(spark, d):
+    """Records of the substreams that restoring the last snapshot needs: its chain of bases."""
+    log = event_log(spark, d)
+    plan = ancestry_chain(spark, d).select("to_guid")
+    return log.join(plan, "to_guid", "left_semi").groupBy("to_guid").agg(F.count(F.lit(1)).alias("records"))
+
+
 @query(f"with {SNAPS} select idx as child, case when idx > 0 then idx - 1 end as base from snaps")
 def nearest_preceding(spark, d):
     return lineage.nearest_bases(day_snapshots(spark, d))
@@ -134,7 +135,7 @@ def selector_resolution(spark, d):
     return lineage.selected(s, s.select(selector.alias("selector")).union(spark.createDataFrame([("nothing",)], "selector string")))
 
 
-@query(f"with {LOG} select seq, object, (select arg_max(l.to_guid, l.seq) from log l where l.object = g.object and l.kind = 'OBJECT' and l.seq <= g.seq) as active from log g where object % 10 = 0")
+@query(f"with {LOG} select seq, object, last_value(case when kind = 'OBJECT' then to_guid end ignore nulls) over (partition by object order by seq rows between unbounded preceding and current row) as active from log")
 def active_substream_ffill(spark, d):
     log = event_log(spark, d).withColumn("active", F.when(F.col("kind") == "OBJECT", F.col("to_guid")))
     return replay.forward_filled(log, "active", ["object"], "seq").select("seq", "object", "active")
@@ -166,7 +167,7 @@ def segment_map(spark, d):
     return replay.segments(alive(spark, d), 16 * BLOCK).select("object", "lo", "hi", "seq")
 
 
-@query(f"""with {GRID}, w as (select object, k as window_id, k * 50000 as lo, k * 50000 + 30000 as hi from (select distinct object from log where object % 5 = 0), range(4) t(k)),
+@query(f"""with {GRID}, w as (select object, k as window_id, k * 50000 as lo, k * 50000 + 30000 as hi from (select distinct object from log), range(4) t(k)),
 g as (select object, b * {BLOCK} as glo, (b + 1) * {BLOCK} as ghi, seq from grid where kind = 'WRITE')
 select object, window_id, sum(least(hi, ghi) - greatest(lo, glo))::bigint as bytes, max(seq) as last_seq from w join g using (object) where glo < hi and ghi > lo group by object, window_id""")
 def positioned_read(spark, d):
@@ -177,8 +178,8 @@ def positioned_read(spark, d):
     return read.groupBy("object", F.col("window").alias("window_id")).agg(F.sum(F.col("hi") - F.col("lo")).alias("bytes"), F.max("seq").alias("last_seq"))
 
 
-@query(f"""with {LOG}, f as (select seq, object as first_object, 3 as n from log where kind = 'FREEOBJECTS' and seq % 50 = 0)
-select count(*)::bigint as records, sum(seq)::bigint as seqs from log l where not exists (select 1 from f where l.seq < f.seq and l.object >= first_object and l.object < first_object + n)""")
+@query(f"""with {LOG}, f as (select object, max(seq) as dead from (select seq, unnest(range(object, object + 3)) as object from log where kind = 'FREEOBJECTS') group by object)
+select count(*)::bigint as records, sum(seq)::bigint as seqs from log l left join f using (object) where dead is null or l.seq >= dead""")
 def free_objects_anti(spark, d):
     log = event_log(spark, d)
     ranges = log.where("kind = 'FREEOBJECTS'").select("seq", F.col("object").alias("first_object"), F.lit(3).alias("count"))
@@ -231,7 +232,7 @@ def key_inheritance(spark, d):
     return lineage.inherited(t, "node", "parent", "key").select("node", F.col("key").alias("key_node"))
 
 
-@query("select c_name as label, 'head' as view_kind from customer where c_custkey % 5 = 0 union all select s_name, 'snapshot' from supplier")
+@query("select c_name as label, 'head' as view_kind from customer union all select s_name, 'snapshot' from supplier")
 def catalog_views_union(spark, d):
     heads = table(spark, d, "customer").select(F.col("c_name").alias("label"), F.lit("head").alias("view_kind"))
     return table(spark, d, "supplier").select(F.lit("snapshot").alias("view_kind"), F.col("s_name").alias("label")).unionByName(heads).select("label", "view_kind")
@@ -277,7 +278,7 @@ def overlay_merge(spark, d):
     return both.select("c_custkey", F.coalesce("s_acctbal", "c_acctbal").alias("balance"), F.coalesce("s_nationkey", "c_nationkey").alias("nation"))
 
 
-@query("select l_orderkey, l_linenumber, coalesce(sum(l_quantity::bigint) over (partition by l_orderkey order by l_linenumber rows between unbounded preceding and 1 preceding), 0)::bigint as byte_offset from lineitem where l_linenumber is not null qualify count(*) over (partition by l_orderkey, l_linenumber) = 1")
+@query("select l_orderkey, l_linenumber, coalesce(sum(l_quantity::bigint) over (partition by l_orderkey order by l_linenumber nulls first, l_partkey nulls first, l_suppkey nulls first, l_quantity nulls first, l_extendedprice nulls first, l_discount nulls first, l_tax nulls first, l_returnflag nulls first, l_linestatus nulls first, l_shipdate nulls first rows between unbounded preceding and 1 preceding), 0)::bigint as byte_offset from lineitem")
 def prefix_offsets(spark, d):
     """Every row; lines that share a number follow one another by their remaining columns."""
     items = table(spark, d, "lineitem")
