@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shingles import BLOCK, bytes_of, in_pieces
+from tidelog.llm.shingles import BLOCK, bytes_of, in_pieces, word_hashes
 
 DIMS = 4096
 #: The model is fitted on about this many labelled texts, shared equally among the languages, twice that at most.
@@ -57,6 +57,14 @@ def features(column: pa.Array) -> np.ndarray:
     return out
 
 
+def word_features(column: pa.Array) -> np.ndarray:
+    """Counts (rows x DIMS, float32) of hashed words; whole texts."""
+    words, at = word_hashes(*bytes_of(column))
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    place = row * DIMS + (words >> np.uint64(52)).astype(np.int64)
+    return np.bincount(place, minlength=(len(at) - 1) * DIMS).astype(np.float32).reshape(-1, DIMS)
+
+
 def weighed(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """counts, float32, turned in place into vectors of length 1 (or 0), a slice of rows at a time."""
     for lo in range(0, len(counts), 64):
@@ -85,31 +93,40 @@ def clustered(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return c[np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c)) >= max(1, LEAST * len(x))]
 
 
-def counted_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+Features = Callable[[pa.Array], np.ndarray]
+
+
+def counted_batches(counts_of: Features) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From (doc_id, lang, text) to (doc_id, lang, places, counts): counts that are not 0, as 16-bit places and
     float32 bytes."""
-    for batch in batches:
-        for piece in in_pieces(batch, 2):
-            found = features(piece.column(2))
-            places = [np.flatnonzero(x).astype(np.uint16) for x in found]
-            counts = [x[p].tobytes() for x, p in zip(found, places, strict=True)]
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([p.tobytes() for p in places], pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "lang", "places", "counts"])
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in in_pieces(batch, 2):
+                found = counts_of(piece.column(2))
+                places = [np.flatnonzero(x).astype(np.uint16) for x in found]
+                counts = [x[p].tobytes() for x, p in zip(found, places, strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([p.tobytes() for p in places], pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "lang", "places", "counts"])
+
+    return work
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
+
+def fit(labelled: DataFrame, sample: int = SAMPLE, features: Features = features) -> Model | None:
     """A model from rows (doc_id long, lang, text); those without a lang or text count for nothing.
 
     Texts are sampled by a hash of doc_id: about `sample` in all, at most twice that, in equal shares by language (a
-    rarer language gives all it has). Only their counts, of fixed size, reach the driver. None without any text.
+    rarer language gives all it has). Only their counts, of fixed size, reach the driver. None without any text. The
+    `sample` most frequent languages are learnt, of equally frequent ones the first by name. Rows that repeat count
+    each; of equal cosines the first centroid wins, in the order of the languages' names.
     """
     rows = labelled.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(sample).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
     if not sizes:
         return None
     share = max(1, sample // len(sizes))
     ranked = (F.xxhash64("doc_id", F.lit(7)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).alias("u")
     most = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, share / n))])
-    taken = rows.where(ranked < F.element_at(most, F.col("lang"))).mapInArrow(counted_batches, "doc_id long, lang string, places binary, counts binary")
+    taken = rows.where(ranked < F.element_at(most, F.col("lang"))).mapInArrow(counted_batches(features), "doc_id long, lang string, places binary, counts binary")
     got = sorted(taken.limit(2 * sample).collect(), key=lambda r: (r["lang"], r["doc_id"]))
     if not got:
         return None
@@ -145,6 +162,27 @@ def judged(model: Model | None, texts: pa.Array, lettered: np.ndarray) -> tuple[
     return langs, score, lettered & (score >= model.floor[best])
 
 
+def cluster_batches(model: Model | None, lang: int, text: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches with a language and a text at these places: the text, which must be the last column, gives way to
+    the number (as a string) of the nearest of its language's centroids by word_features, `-` if that has none."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in in_pieces(batch, text):
+                names = ["-"] * piece.num_rows
+                if model is not None and piece.num_rows:
+                    near = weighed(word_features(piece.column(text)), model.idf) @ model.centroids.T
+                    index = {x: i for i, x in enumerate(model.langs)}
+                    own = np.array([index.get(x, -1) for x in piece.column(lang).to_pylist()])
+                    near[model.owner[None, :] != own[:, None]] = -np.inf
+                    best = np.argmax(near, axis=1) if near.shape[1] else np.zeros(len(near), int)
+                    first = np.searchsorted(model.owner, own)
+                    names = [str(k) if o >= 0 else "-" for k, o in zip((best - first).tolist(), own.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(names, pa.string())], names=[*piece.schema.names[:-1], "cluster"])
+
+    return work
+
+
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
