@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,24 @@ def normalized_path(path: Column, inner: bool = False) -> Column:
     return F.when(~bad, F.concat(F.lit("/"), F.array_join(parts, "/")))
 
 
+def outer_parts(path: str) -> list[str]:
+    """The components of one outer path, as normalized_path has them; a refused one is an error."""
+    parts = [p for p in path.split("/") if p]
+    if any(p in (".", "..") or "\0" in p for p in parts):
+        raise ValueError(f"a path must not hold . or ..: {path}")
+    return parts
+
+
+def inner_parts(path: str) -> list[str]:
+    """The components of one inner path: it starts with a slash, and . is dropped."""
+    if not path.startswith("/"):
+        raise ValueError(f"a path in an image starts with /: {path}")
+    parts = [p for p in path.split("/") if p not in ("", ".")]
+    if any(p == ".." or "\0" in p for p in parts):
+        raise ValueError(f"a path must not hold ..: {path}")
+    return parts
+
+
 def child_path(parent: Column, name: Column) -> Column:
     return F.when(parent == "/", F.concat(parent, name)).otherwise(F.concat(parent, F.lit("/"), name))
 
@@ -62,6 +82,11 @@ def safe_component(name: Column) -> Column:
     return ~(name.isin("", ".", "..") | name.rlike(r'[/\\<>:"|?*\x00-\x1f]') | name.rlike(r"[. ]$") | stem.isin(*RESERVED))
 
 
+def is_safe(name: str) -> bool:
+    """safe_component for one name."""
+    return not (name in ("", ".", "..") or re.search(r'[/\\<>:"|?*\x00-\x1f]|[. ]$', name) or name.split(".")[0].lower() in RESERVED)
+
+
 def vendor_format(dataset: Column) -> Column:
     n = F.lower(dataset)
     return F.when(n.contains("slide"), "slide_box").when(n.contains("datto"), "datto_reverse_roundtrip").otherwise("generic_zfs")

@@ -68,17 +68,39 @@ def selected(snapshots: DataFrame, selectors: DataFrame) -> DataFrame:
     return selectors.select("selector").distinct().join(best, "selector", "left")
 
 
-def descent(parents: DataFrame, node: str, parent: str, name: str, root: int | str) -> DataFrame:
-    """node, path, depth of everything below a root in a table of (node, parent, name), by a recursive walk."""
-    spark = parents.sparkSession
-    parents.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(name).alias("name")).createOrReplaceTempView("tidelog_tree")
-    start = f"'{root}'" if isinstance(root, str) else root
-    return spark.sql(f"""
-        with recursive walk as (
-            select node, concat('/', name) as path, 1 as depth from tidelog_tree where parent = {start}
-            union all
-            select t.node, concat(w.path, '/', t.name), w.depth + 1 from walk w join tidelog_tree t on t.parent = w.node)
-        select node, path, depth from walk""")
+#: Levels and entries that a tree may have.
+TREE_DEPTH, TREE_ENTRIES = 256, 1_000_000
+
+
+class TreeTooLarge(ValueError):
+    """A tree beyond the depth or the entries allowed, or one that leads back into itself."""
+
+
+def descent(parents: DataFrame, node: str, parent: str, name: str, root: int | str, depth: int = TREE_DEPTH, entries: int | None = None) -> DataFrame:
+    """node, path, depth of everything below a root in a table of (node, parent, name), a level at a time.
+
+    Each level is one join of the written level before with the table, so that plans stay short; more levels or
+    entries than allowed raise TreeTooLarge, which also ends a walk in a circle.
+    """
+    scratch = Scratch(parents.sparkSession, "descent")
+    table = parents.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(name).alias("name"))
+    start = table.where(F.col("parent") == F.lit(root))
+    level = scratch.save(start.select("node", F.concat(F.lit("/"), "name").alias("path"), F.lit(1).alias("depth")), "level-1")
+    total, k, walked = 0, 1, []
+    while n := level.count():
+        total += n
+        if k > depth:
+            raise TreeTooLarge(f"more than {depth} levels below {root}")
+        if entries is not None and total > entries:
+            raise TreeTooLarge(f"more than {entries} entries below {root}")
+        walked.append(level)
+        k += 1
+        below = level.select(F.col("node").alias("parent"), F.col("path").alias("up")).join(table, "parent")
+        level = scratch.save(below.select("node", F.concat_ws("/", "up", "name").alias("path"), F.lit(k).alias("depth")), f"level-{k}")
+    out = level
+    for part in walked:
+        out = out.union(part)
+    return out
 
 
 def latest_rows(df: DataFrame, by: list[str], order: str) -> DataFrame:

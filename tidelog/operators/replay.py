@@ -24,7 +24,7 @@ def generations(log: DataFrame, object_type: str | None = None) -> DataFrame:
     reset = F.col("kind") == "FREEOBJECTS"
     if object_type:
         before = F.last(F.when(F.col("kind") == "OBJECT", F.col(object_type)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        reset = reset | ((F.col("kind") == "OBJECT") & (before != F.col(object_type)))
+        reset = reset | F.coalesce((F.col("kind") == "OBJECT") & (before != F.col(object_type)), F.lit(False))
     return log.withColumn("generation", F.sum(reset.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 

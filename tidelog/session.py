@@ -62,6 +62,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.at(name))
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
+    def folder(self, name: str) -> str:
+        """An empty folder for files that tasks write themselves."""
+        self._fs.mkdirs(self._path(self.at(name)))
+        return self.at(name)
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._fs.delete(self._path(self.at(name)), True)

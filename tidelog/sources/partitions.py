@@ -11,7 +11,9 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.sources.ranges import listed, opened
+from tidelog.sources.images import Image, ImageError, Source, container
+from tidelog.sources.ranges import listed
+from tidelog.sources.volumes import probed
 
 SECTORS = (512, 4096)
 MOST_ENTRIES, MOST_TABLE, MOST_LINKS = 16_384, 64 << 20, 128
@@ -19,32 +21,10 @@ MOST_ENTRIES, MOST_TABLE, MOST_LINKS = 16_384, 64 << 20, 128
 EXTENDED, PROTECTIVE = (0x05, 0x0F, 0x85), 0xEE
 
 
-class PartitionError(ValueError):
+class PartitionError(ImageError):
     """A partition table that breaks its format."""
 
 
-class Image:
-    """Bounded reads of a window of a file."""
-
-    def __init__(self, path: str, size: int, start: int = 0):
-        self.path, self.size, self.start = path, size, start
-
-    def read(self, at: int, n: int) -> bytes:
-        if at < 0 or n < 0 or at + n > self.size:
-            raise PartitionError(f"bytes {at} to {at + n} of {self.size}")
-        with opened(self.path) as f:
-            f.seek(self.start + at)
-            data = f.read(n)
-        if len(data) != n:
-            raise PartitionError(f"{len(data)} of {n} bytes at {at}")
-        return data
-
-    def window(self, at: int, n: int) -> "Image":
-        if at < 0 or at + n > self.size:
-            raise PartitionError(f"a window from {at} to {at + n} of {self.size}")
-        return Image(self.path, n, self.start + at)
-
-
 class Part(NamedTuple):
     scheme: str
     number: int
@@ -54,7 +34,7 @@ class Part(NamedTuple):
     name: str
 
 
-def _gpt_at(image: Image, sector: int, at: int) -> list[Part]:
+def _gpt_at(image: Source, sector: int, at: int, strict: bool = True) -> list[Part]:
     head = image.read(at, sector)
     if head[:8] != b"EFI PART":
         raise PartitionError("no GPT header")
@@ -75,13 +55,15 @@ def _gpt_at(image: Image, sector: int, at: int) -> list[Part]:
             continue
         lo, hi = struct.unpack_from("<QQ", e, 32)
         if not first <= lo <= hi <= last or (hi + 1) * sector > image.size:
+            if not strict:
+                continue
             raise PartitionError(f"GPT partition {k + 1} is out of range")
         name = e[56:128].decode("utf-16-le", "replace").split("\0")[0]
         out.append(Part("gpt", k + 1, lo * sector, (hi - lo + 1) * sector, str(uuid.UUID(bytes_le=e[:16])), name))
     return out
 
 
-def gpt(image: Image) -> list[Part] | None:
+def gpt(image: Source) -> list[Part] | None:
     """Partitions by the first header that holds: the primary, then the backup, in sectors of 512, then 4096 bytes.
 
     None if no header is there; an error if one is and none holds."""
@@ -94,7 +76,7 @@ def gpt(image: Image) -> list[Part] | None:
                 continue
             try:
                 return _gpt_at(image, sector, at)
-            except PartitionError as e:
+            except ImageError as e:
                 errors.append(str(e))
     if errors:
         raise PartitionError("; ".join(errors))
@@ -105,7 +87,7 @@ def _entries(record: bytes) -> list[tuple[int, int, int]]:
     return [(record[446 + 16 * k + 4], *struct.unpack_from("<II", record, 446 + 16 * k + 8)) for k in range(4)]
 
 
-def mbr(image: Image) -> list[Part] | None:
+def mbr(image: Source) -> list[Part] | None:
     """Primary partitions, numbered 1 to 4, and logical ones from 5 on, along the chain of extended records."""
     if image.size < 512:
         return None
@@ -147,7 +129,7 @@ def mbr(image: Image) -> list[Part] | None:
     return sorted(out, key=lambda p: p.number)
 
 
-def filesystem(image: Image) -> str | None:
+def filesystem(image: Source) -> str | None:
     """The file system at the start of an image, by the marks of its boot sector or superblock."""
     if image.size < 512:
         return None
@@ -171,34 +153,64 @@ def filesystem(image: Image) -> str | None:
     return None
 
 
-def volumes_of(image: Image) -> Iterator[tuple]:
-    """(scheme, number, offset, length, kind, name, filesystem, diagnostic): GPT first, then a file system at byte 0,
-    then MBR; one raw volume where there is none of these. A table that breaks its format is a diagnostic."""
+def volumes_of(image: Source) -> Iterator[tuple]:
+    """(scheme, number, offset, length, kind, name, filesystem, diagnostic) of a disk: GPT first, then a file system at
+    byte 0, then MBR; one raw volume where there is none of these. A table that breaks its format, or a file system
+    that announces itself and does not open, is a diagnostic."""
     note = None
     try:
         parts = gpt(image)
         if parts is None and filesystem(image) is None:
             parts = mbr(image)
-    except PartitionError as e:
+    except ImageError as e:
         parts, note = None, str(e)
     if not parts:
-        yield "raw", 0, 0, image.size, "", "", filesystem(image), note
+        found, why = probed(image, filesystem(image))
+        yield "raw", 0, 0, image.size, "", "", found, note or (why if filesystem(image) else None)
         return
     for p in parts:
-        found = filesystem(image.window(p.offset, p.length))
-        yield *p, found, None if found else "no known file system"
+        volume = image.window(p.offset, p.length)
+        yield *p, *probed(volume, filesystem(volume))
+
+
+def pool_partitions(image: Source) -> list[Part]:
+    """Partitions that may hold a pool: those of the primary GPT that lie within the disk, or else primary MBR ones.
+
+    Unlike gpt() and mbr(), what is out of range is passed over, and neither the backup nor extended chains are read.
+    """
+    for sector in SECTORS:
+        if image.size >= 2 * sector and image.read(sector, 8) == b"EFI PART":
+            try:
+                return _gpt_at(image, sector, sector, strict=False)
+            except ImageError:
+                continue
+    if image.size < 512 or image.read(510, 2) != b"\x55\xaa":
+        return []
+    found = enumerate(_entries(image.read(0, 512)), 1)
+    return [Part("mbr", k, first * 512, count * 512, f"0x{kind:02x}", "") for k, (kind, first, count) in found if kind and kind != PROTECTIVE and kind not in EXTENDED and first and count and (first + count) * 512 <= image.size]
+
+
+def label(volume) -> str:
+    """What a volume is called: its selector, file system and name."""
+    own = f"{volume['scheme']}{volume['partition'] or ''}"
+    return ": ".join(x for x in (own, volume["filesystem"] or "unknown", volume["name"]) if x)
+
+
+def default_volume(found: list):
+    """The first volume with a known file system, or None."""
+    return next((v for v in found if v["filesystem"]), None)
 
 
 VOLUME = "path string, scheme string, partition int, offset long, length long, partition_type string, name string, filesystem string, diagnostic string"
 
 
 def volumes(spark: SparkSession, path: str) -> DataFrame:
-    """VOLUME rows of every image under a path, one task per image."""
+    """VOLUME rows of every image under a path, in whatever container, one task per image."""
     files = spark.createDataFrame(listed(spark, path), "path string, size long")
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(r.path, *v) for r in pdf.itertuples(index=False) for v in volumes_of(Image(r.path, r.size))]
+            rows = [(r.path, *v) for r in pdf.itertuples(index=False) for v in volumes_of(container(Image(r.path, r.size))[1])]
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in VOLUME.split(", ")])
 
     return files.repartition(files.count()).mapInPandas(probe, VOLUME)
