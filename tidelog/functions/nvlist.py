@@ -6,7 +6,7 @@ import struct
 
 # Data types of pairs.
 BOOLEAN, BYTE, INT16, UINT16, INT32, UINT32, INT64, UINT64, STRING, BYTES = range(1, 11)
-UINT64_ARRAY, NVLIST, NVLIST_ARRAY, BOOLEAN_VALUE, INT8, UINT8 = 16, 19, 20, 21, 22, 23
+UINT64_ARRAY, STRINGS, NVLIST, NVLIST_ARRAY, BOOLEAN_VALUE, INT8, UINT8, UINT8_ARRAY = 16, 17, 19, 20, 21, 22, 23, 26
 NATIVE, XDR = 0, 1
 DEEPEST = 32
 
@@ -37,6 +37,8 @@ def _xdr(data: bytes, at: int, depth: int) -> tuple[dict, int]:
     """Big-endian words of four bytes; each pair states its own encoded size, and a size of zero ends the list."""
     if depth > DEEPEST:
         raise NvError("lists nest too deep")
+    if struct.unpack_from(">I", data, at)[0]:
+        raise NvError("a list of another version")
     out, at = {}, at + 8  # version and flags
     while True:
         size, _ = struct.unpack_from(">II", data, at)
@@ -60,8 +62,16 @@ def _xdr(data: bytes, at: int, depth: int) -> tuple[dict, int]:
             out[name] = _take(data, p + 4, n).decode()
         elif kind == BYTES:
             out[name] = _take(data, p, count)
+        elif kind == UINT8_ARRAY:  # a second count, then a word of four bytes for each
+            out[name] = bytes(x & 0xFF for x in struct.unpack_from(f">{count}I", data, p + 4))
         elif kind == UINT64_ARRAY:
             out[name] = list(struct.unpack_from(f">{count}Q", data, p + 4))
+        elif kind == STRINGS:
+            out[name], q = [], p
+            for _ in range(count):
+                (n,) = struct.unpack_from(">I", data, q)
+                out[name].append(_take(data, q + 4, n).decode())
+                q += 4 + (n + 3 & ~3)
         elif kind == NVLIST:
             out[name], end = _xdr(data, p, depth + 1)
         elif kind == NVLIST_ARRAY:
@@ -82,7 +92,10 @@ def _native(data: bytes, at: int, depth: int) -> tuple[dict, int]:
     if depth > DEEPEST:
         raise NvError("lists nest too deep")
     out = {}
-    at += 8 if depth == 0 else 0
+    if depth == 0:
+        if struct.unpack_from("<I", data, at)[0]:
+            raise NvError("a list of another version")
+        at += 8
     while True:
         (size,) = struct.unpack_from("<i", data, at)
         if not size:
@@ -105,7 +118,7 @@ def _native(data: bytes, at: int, depth: int) -> tuple[dict, int]:
             out[name] = True
         elif kind == STRING:
             out[name] = _take(data, p, at - p).split(b"\0")[0].decode()
-        elif kind == BYTES:
+        elif kind in (BYTES, UINT8_ARRAY):
             out[name] = _take(data, p, count)
         elif kind == UINT64_ARRAY:
             out[name] = list(struct.unpack_from(f"<{count}Q", data, p))
@@ -118,3 +131,27 @@ def _native(data: bytes, at: int, depth: int) -> tuple[dict, int]:
                 out[name].append(inner)
         else:
             raise NvError(f"type {kind}")
+
+
+def encode(pairs: dict) -> bytes:
+    """A packed XDR list of numbers (64 bits), strings, byte arrays and nested lists."""
+    return bytes([XDR, 1, 0, 0]) + _encoded(pairs)
+
+
+def _encoded(pairs: dict) -> bytes:
+    out = struct.pack(">II", 0, 1)
+    for name, value in pairs.items():
+        raw = name.encode()
+        if isinstance(value, dict):
+            kind, count, body = NVLIST, 1, _encoded(value)
+        elif isinstance(value, str):
+            kind, count, body = STRING, 1, struct.pack(">I", len(value.encode())) + value.encode().ljust(len(value.encode()) + 3 & ~3, b"\0")
+        elif isinstance(value, bytes):
+            kind, count, body = UINT8_ARRAY, len(value), struct.pack(f">{len(value) + 1}I", len(value), *value)
+        elif isinstance(value, list):
+            kind, count, body = NVLIST_ARRAY, len(value), b"".join(map(_encoded, value))
+        else:
+            kind, count, body = UINT64, 1, struct.pack(">Q", value)
+        mid = struct.pack(">I", len(raw)) + raw.ljust(len(raw) + 3 & ~3, b"\0") + struct.pack(">II", kind, count) + body
+        out += struct.pack(">II", len(mid) + 8, len(mid) + 8) + mid
+    return out + bytes(8)
