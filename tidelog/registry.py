@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.plans import tables
+from tidelog.plans import streams, tables  # noqa: F401  streams registers its queries with tables
 
 FLAGSHIP = "segments_live_bytes"
 

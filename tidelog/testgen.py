@@ -34,11 +34,14 @@ class StreamWriter:
 
     def substream(self, name: str, to_guid: int, from_guid: int = 0, records: Iterable[tuple] = (), created: int = 0) -> None:
         """records: (kind, payload, fields)."""
-        self.record("BEGIN", magic=wire.MAGIC, version=wire.SUBSTREAM, to_guid=to_guid, from_guid=from_guid, name=name.encode(), creation_time=created)
+        self.begin(name, to_guid, from_guid, created)
         for kind, payload, fields in records:
             self.record(kind, payload, **fields)
         self.record("END")
 
+    def begin(self, name: str, to_guid: int, from_guid: int = 0, created: int = 0) -> None:
+        self.record("BEGIN", magic=wire.MAGIC, version=wire.SUBSTREAM, to_guid=to_guid, from_guid=from_guid, name=name.encode(), creation_time=created)
+
     def compound_begin(self, name: str, payload: bytes = b"\0" * 8) -> None:
         self.record("BEGIN", payload, magic=wire.MAGIC, version=wire.COMPOUND, payload=len(payload), name=name.encode())
         self.record("END")
