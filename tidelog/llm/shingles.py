@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,11 +94,30 @@ def shingle_sets(words: np.ndarray, at: np.ndarray, k: int = WORDS) -> Iterator[
             yield np.zeros(0, np.uint64)
 
 
-def in_pieces(batch: pa.RecordBatch, text: int, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts hold about `most` bytes together, one row at least."""
-    _, at = bytes_of(batch.column(text))
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(work: Work) -> Work:
+    """The same work; what it no longer needs goes back to the system when a task ends, as workers serve many tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
+def in_pieces(batch: pa.RecordBatch, text: int | pa.Array, most: int = BLOCK, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts (a column's place, or the texts) hold about `most` bytes together, one row at
+    least and `rows` at most."""
+    _, at = bytes_of(batch.column(text) if isinstance(text, int) else text)
     lo = 0
     while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1))
         yield batch.slice(lo, hi - lo)
         lo = hi

@@ -1,8 +1,8 @@
 """WARC archives: writing captures, reading records back, and joining them into transactions.
 
 A capture is a response (or a revisit of an equal payload), the request that led to it and a metadata record. The
-latter two name the first in WARC-Concurrent-To; assembly follows such identifiers in either direction, over one record
-in between at most, and gives one nested row per capture.
+latter two name the first in WARC-Concurrent-To; assembly follows such identifiers in either direction, over any number
+of records in between, and gives one nested row per capture.
 """
 
 from __future__ import annotations
@@ -10,18 +10,21 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.llm.shingles import lean
 from tidelog.session import Scratch
+from tidelog.sources.ranges import listed, opened
 
 #: Payloads of fewer bytes are stored again each time.
 LEAST = 100
 DATE = "2024-01-01T00:00:00Z"
-#: Records in an archive file; Spark's binary reader hands over one file at a time.
-PER_FILE = 6000
+#: Records in an archive file at most; a file is read as a stream by one task, whatever its size.
+PER_FILE = 60_000
 #: Payload bytes in a batch that the reader hands on.
 BATCH = 4 << 20
 _CRLF = "\r\n"
@@ -33,15 +36,17 @@ def _uuid(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", cut(1, 8), cut(9, 4), cut(13, 4), cut(17, 4), cut(21, 12)), F.lit(">"))
 
 
-def _field(name: str, value: Column) -> Column:
-    """A header line; none for a null value. Line ends in values become spaces."""
-    return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), "[\r\n]+", " "), F.lit(_CRLF)), F.lit(""))
+def _field(name: str, value: Column, clean: bool = False) -> Column:
+    """A header line; none for a null value. Line ends in values become spaces, unless the value is known to be clean."""
+    value = value.cast("string")
+    value = value if clean else F.when(value.rlike("[\r\n]"), F.regexp_replace(value, "[\r\n]+", " ")).otherwise(value)
+    return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(_CRLF)), F.lit(""))
 
 
-def _record(kind: str | Column, block: Column, content_type: str, *fields: tuple[str, Column]) -> Column:
+def _record(kind: str | Column, block: Column, size: Column, content_type: str, *fields: Column) -> Column:
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    head = [_field("WARC-Type", kind), *[_field(k, v) for k, v in fields], _field("WARC-Date", F.lit(DATE)), _field("Content-Type", F.lit(content_type)), _field("Content-Length", F.octet_length(block))]
-    return F.concat(F.lit("WARC/1.1" + _CRLF), *head, F.lit(_CRLF), block)
+    last = F.lit(f"WARC-Date: {DATE}{_CRLF}Content-Type: {content_type}{_CRLF}Content-Length: ")
+    return F.concat(F.lit(f"WARC/1.1{_CRLF}WARC-Type: "), kind, F.lit(_CRLF), *fields, last, size.cast("string"), F.lit(_CRLF * 2), block)
 
 
 def captures_of(pages: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
@@ -63,51 +68,61 @@ def captures_of(pages: DataFrame, scratch: Scratch, least: int = LEAST) -> DataF
 def write_archives(captures: DataFrame, path: str, per_file: int = PER_FILE) -> None:
     """Writes three records per row of captures_of as gzip-compressed WARC files.
 
-    Spark's text writer puts each record, its separator after it, into files that its commit protocol publishes
-    whole, so a lost executor leaves no half archive.
+    Identifiers follow from the row and from its place in the reading, so that rows that repeat are captures of their
+    own. All three records of a capture come from one task, whose files Spark's text writer publishes whole by its
+    commit protocol: a lost executor leaves no half archive, and no identifier without its partners.
     """
-    here = _uuid(F.lit("capture"), F.col("page_id"), F.col("digest"), F.col("url"))
-    first = F.concat(F.lit("page:"), F.col("original").cast("string"))
+    base = captures.withColumn("__place", F.monotonically_increasing_id())
+    base = base.withColumn("__id", _uuid(F.lit("capture"), F.col("page_id"), F.col("digest"), F.col("url"), F.col("__place")))
+    asked = F.concat(F.lit("GET "), F.coalesce(F.regexp_replace(F.col("url"), "[\r\n ]+", "%20"), F.lit("/")), F.lit(" HTTP/1.1" + _CRLF * 2))
     size = F.octet_length("payload")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), size.cast("string"), F.lit(_CRLF * 2))
+    known = F.concat(_field("page-id", F.col("page_id"), True), _field("refers-to-page", F.col("original"), True))
+    part = lambda name: F.concat(F.regexp_replace("__id", ">$", ""), F.lit(f"-{name}>"))
+    base = base.select(
+        "payload", "digest", "original", F.col("__id").alias("id"), part("request").alias("request_id"), part("metadata").alias("metadata_id"),
+        _field("WARC-Target-URI", F.col("url")).alias("target"), asked.alias("asked"), http.alias("http"), known.alias("known"),
+    )
     revisit = F.col("original").isNotNull()
-    profile = F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-    digest = F.concat(F.lit("sha256:"), F.col("digest"))
     main = _record(
-        F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), F.when(revisit, http).otherwise(F.concat(http, F.col("payload"))), "application/http; msgtype=response",
-        ("WARC-Record-ID", here), ("WARC-Target-URI", F.col("url")), ("WARC-Payload-Digest", digest), ("WARC-Profile", profile), ("WARC-Refers-To-Target-URI", F.when(revisit, first)),
+        F.when(revisit, "revisit").otherwise("response"), F.concat("http", F.when(revisit, "").otherwise(F.col("payload"))), F.octet_length("http") + F.when(revisit, 0).otherwise(F.octet_length("payload")), "application/http; msgtype=response",
+        _field("WARC-Record-ID", F.col("id"), True), F.col("target"), _field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest"), True),
+        F.when(revisit, f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{_CRLF}").otherwise(""), _field("WARC-Refers-To-Target-URI", F.concat(F.lit("page:"), F.col("original").cast("string")), True),
     )
-    asked = F.concat(F.lit("GET "), F.coalesce(F.regexp_replace(F.col("url"), "[\r\n ]+", "%20"), F.lit("/")), F.lit(" HTTP/1.1" + _CRLF * 2))
-    request = _record("request", asked, "application/http; msgtype=request", ("WARC-Record-ID", _uuid(F.lit("request"), here)), ("WARC-Target-URI", F.col("url")), ("WARC-Concurrent-To", here))
-    known = F.concat(_field("page-id", F.col("page_id")), _field("refers-to-page", F.col("original")))
-    metadata = _record("metadata", known, "application/warc-fields", ("WARC-Record-ID", _uuid(F.lit("metadata"), here)), ("WARC-Target-URI", F.col("url")), ("WARC-Concurrent-To", here))
-    lines = captures.select(F.explode(F.array(request, main, metadata)).alias("value"))
-    lines.write.mode("overwrite").option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    side = lambda kind, block, type_: _record(kind, F.col(block), F.octet_length(block), type_, _field("WARC-Record-ID", F.col(f"{kind}_id"), True), F.col("target"), _field("WARC-Concurrent-To", F.col("id"), True))
+    three = base.select(side("request", "asked", "application/http; msgtype=request").alias("a"), main.alias("b"), side("metadata", "known", "application/warc-fields").alias("c"))
+    lines = three.select(F.explode(F.array("a", "b", "c")).alias("value"))
+    lines.write.mode("overwrite").option("lineSep", _CRLF * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path)
 
 
 class Framed:
-    """Reads exactly so many bytes, or up to a mark, from chunks; keeps no more than what is asked for and a chunk."""
+    """Reads exactly so many bytes, or up to a mark, from a file; keeps no more than what is asked for and a chunk."""
 
-    def __init__(self, data: bytes):
-        self.rest, self.chunks, self.at = b"", self._opened(data), 0
+    def __init__(self, source: BinaryIO):
+        self.rest, self.chunks, self.at = b"", self._opened(source), 0
 
     @staticmethod
-    def _opened(data: bytes) -> Iterator[bytes]:
+    def _opened(source: BinaryIO) -> Iterator[bytes]:
         """Chunks of the file, unpacked if it is a row of gzip members."""
-        step = 1 << 20
+        step = 1 << 18
+        data = source.read(step)
         if data[:2] != b"\x1f\x8b":
-            yield from (data[i : i + step] for i in range(0, len(data), step))
+            while data:
+                yield data
+                data = source.read(step)
             return
-        view = memoryview(data)
-        while len(view):
-            member, used = zlib.decompressobj(31), 0
-            while not member.eof and used < len(view):
-                part = view[used : used + (step >> 3)]
-                used += len(part)
-                yield member.decompress(part)
-            if not member.eof:
-                raise ValueError("a gzip member is cut short")
-            view = view[used - len(member.unused_data) :]
+        member = zlib.decompressobj(31)
+        while data:
+            yield member.decompress(data)
+            data = member.unused_data if member.eof else b""
+            if member.eof:
+                member = zlib.decompressobj(31)
+                fresh = True
+            else:
+                fresh = False
+            data = data or source.read(step)
+        if not fresh:
+            raise ValueError("a gzip member is cut short")
 
     def _more(self) -> bool:
         for chunk in self.chunks:
@@ -141,10 +156,10 @@ class Framed:
 RECORD = "file string, position long, type string, record_id string, concurrent_to array<string>, target_uri string, fields map<string,string>, payload_bytes long, payload_digest string, digest_ok boolean, payload binary"
 
 
-def parsed(data: bytes, keep: bool) -> Iterator[tuple]:
+def parsed(file: BinaryIO, keep: bool) -> Iterator[tuple]:
     """A record's values after `file`. Header names are lower-cased; one that repeats keeps its last value, besides
     WARC-Concurrent-To, of which all count. A payload is what follows the HTTP head; warc-fields blocks join fields."""
-    source = Framed(data)
+    source = Framed(file)
     while True:
         while source.rest[:2] == b"\r\n" or (not source.rest and source._more()):
             if source.rest[:2] == b"\r\n":
@@ -176,23 +191,24 @@ def parsed(data: bytes, keep: bool) -> Iterator[tuple]:
 
 
 def record_batches(keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From Spark's binary files (path, content) to RECORD."""
+    """From (path) to RECORD."""
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
     names = [x.split(" ")[0] for x in RECORD.split(", ")]
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for path in batch.column(0).to_pylist():
                 rows, held = [], 0
-                for record in parsed(content.as_py(), keep):
-                    rows.append((path, *record))
-                    held += len(record[-1] or b"") + 500
-                    if held > BATCH:
-                        yield made(rows)
-                        rows, held = [], 0
+                with opened(path) as file:
+                    for record in parsed(file, keep):
+                        rows.append((path, *record))
+                        held += len(record[-1] or b"") + 500
+                        if held > BATCH:
+                            yield made(rows)
+                            rows, held = [], 0
                 if rows:
                     yield made(rows)
 
@@ -200,8 +216,11 @@ def record_batches(keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The RECORD rows of all archives under a path; without payloads if only their sizes and digests are wanted."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(record_batches(payloads), RECORD)
+    """The RECORD rows of all archives under a path or pattern; without payloads if only their sizes and digests are
+    wanted. A task reads whole files, each as a stream, so that an archive may be of any size."""
+    files = listed(spark, path)
+    paths = spark.createDataFrame([(p,) for p, _ in files], "path string").repartition(max(1, min(len(files), 10_000)), "path")
+    return paths.mapInArrow(lean(record_batches(payloads)), RECORD)
 
 
 MAIN = ("response", "revisit")
@@ -218,22 +237,23 @@ def transactions(records: DataFrame, scratch: Scratch) -> DataFrame:
     """
     whole = F.struct("type", "record_id", "target_uri", "fields", "payload_bytes", "payload_digest", "digest_ok", "payload")
     ids = records.where("record_id is not null").select("record_id", F.col("type").isin(*MAIN).alias("main"), "concurrent_to")
-    named = ids.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
-    pairs = named.union(named.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    mains = ids.where("main").select(F.col("record_id").alias("b")).distinct()
-    direct = scratch.save(pairs.join(mains, "b").groupBy("a").agg(F.min("b").alias("capture_id")), "direct")
-    reached = last = direct
-    settled = direct.select("a").union(mains.select(F.col("b").alias("a")))
-    k = 0
-    while True:  # once for each record in between
-        rest = scratch.save(pairs.join(settled, "a", "left_anti"), f"rest-{k}")
-        if rest.limit(1).count() == 0:
-            break
-        k += 1
-        last = scratch.save(rest.join(last.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("capture_id").alias("capture_id")), f"over-{k}")
-        if last.limit(1).count() == 0:
-            break
-        reached, pairs, settled = reached.union(last), rest, last.select("a")
+    named = ids.select(F.col("record_id").alias("a"), F.col("main").alias("a_main"), F.explode("concurrent_to").alias("b"))
+    mains = ids.where("main").select(F.col("record_id").alias("b"), F.lit(True).alias("b_main")).distinct()
+    links = scratch.save(named.join(mains, "b", "left").select("a", "b", "a_main", F.coalesce("b_main", F.lit(False)).alias("b_main")), "links")
+    turned = lambda df: df.select(F.col("a").alias("b"), F.col("b").alias("a"))
+    direct = links.where("b_main and not a_main").select("a", F.col("b").alias("c")).union(links.where("a_main and not b_main").select(F.col("b").alias("a"), F.col("a").alias("c")))
+    reached = scratch.save(direct.groupBy("a").agg(F.min("c").alias("capture_id")), "over-0")
+    rest = links.where("not a_main and not b_main").select("a", "b")
+    last, k = reached, 0
+    if rest.limit(1).count():
+        pairs = scratch.save(rest.union(turned(rest).select("a", "b")).distinct(), "pairs")
+        while True:  # once for each record in between
+            k += 1
+            near = pairs.join(last.withColumnRenamed("a", "b"), "b").select("a", "capture_id").join(reached.select("a"), "a", "left_anti")
+            last = scratch.save(near.groupBy("a").agg(F.min("capture_id").alias("capture_id")), f"over-{k}")
+            if last.limit(1).count() == 0:
+                break
+            reached = reached.union(last)
     others = records.where(~F.col("type").isin(*MAIN) | F.col("record_id").isNull()).select("record_id", "type", whole.alias("record"))
     owned = others.join(reached, others["record_id"] == reached["a"], "left").drop("a")
     owned = owned.select("type", "record_id", "record", F.coalesce("capture_id", "record_id").alias("capture_id"))
@@ -246,7 +266,8 @@ def transactions(records: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def query(pages: DataFrame) -> DataFrame:
-    """Rows that repeat a page wholly are one capture. A null page_id is never the one that others revisit."""
+    """A capture per row, rows that repeat one another too. A null page_id is never the one that others revisit; of
+    equal payloads, all rows of the smallest page_id are responses. Clashing and further columns are ignored."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     write_archives(captures_of(pages, scratch), scratch.at("archives"))
@@ -266,11 +287,11 @@ def query(pages: DataFrame) -> DataFrame:
 
 def sql() -> str:
     return f"""
-with p as (select distinct page_id, url, coalesce(html, '') as html from pages),
+with p as (select page_id, url, coalesce(html, '') as html from pages),
 d as (select *, strlen(html) as n, sha256(html) as h from p),
 m as (select *, min(page_id) over (partition by h) as first from d)
 select page_id, n::bigint as payload_bytes, h as payload_digest,
-       case when n >= {LEAST} and page_id <> first then 'revisit' else 'response' end as record_type,
-       case when n >= {LEAST} and page_id <> first then first end as refers_to,
+       case when n >= {LEAST} and first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+       case when n >= {LEAST} and page_id is distinct from first then first end as refers_to,
        url, true as digest_ok
 from m"""
