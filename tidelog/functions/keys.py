@@ -7,6 +7,8 @@ import hmac
 import re
 
 MOST_ITERATIONS = 10_000_000
+#: Bytes of a key file.
+MOST_FILE = 64 << 10
 # Key lengths of the suites, CCM then GCM at 128, 192 and 256 bits.
 KEY_BYTES = {3: 16, 4: 24, 5: 32, 6: 16, 7: 24, 8: 32}
 FORMATS = {1: "raw", 2: "hex", 3: "passphrase"}
@@ -49,6 +51,25 @@ def block_key(master: bytes, salt: bytes, suite: int) -> bytes:
     return hmac.new(drawn, salt + b"\x01", hashlib.sha512).digest()[: KEY_BYTES[suite]]
 
 
+#: Bytes that a message code may be cut to.
+CODE_BYTES = (16, 32, 64)
+
+
 def code_holds(key: bytes, data: bytes, said: bytes) -> bool:
-    """Whether a truncated HMAC-SHA512 is what is said, compared in constant time."""
+    """Whether an HMAC-SHA512, cut to one of the lengths in use, is what is said; compared in constant time."""
+    if len(said) not in CODE_BYTES:
+        raise KeyError_(f"a code of {len(said)} bytes")
     return hmac.compare_digest(hmac.new(key, data, hashlib.sha512).digest()[: len(said)], said)
+
+
+def material_of(form: str, path: str) -> bytes:
+    """Key material from a file: text forms lose one line end; a raw key may stand there in 64 hexadecimal digits."""
+    with open(path, "rb") as f:
+        found = f.read(MOST_FILE + 1)
+    if len(found) > MOST_FILE:
+        raise KeyError_(f"a key file of more than {MOST_FILE} bytes")
+    if form == "raw" and len(found) != 32:
+        digits = found.strip()
+        if re.fullmatch(rb"[0-9a-fA-F]{64}", digits):
+            return bytes.fromhex(digits.decode())
+    return trimmed(form, found)

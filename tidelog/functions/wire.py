@@ -25,7 +25,7 @@ NAMES = {v: k for k, v in TAGS.items()}
 #: Object types whose data is metadata that listings need.
 METADATA_TYPES = (20, 21, 45, 46, 47)
 # Object types that are stored encrypted, besides those whose flag bits say so.
-ENCRYPTED_TYPES = (2, 8, 9, 10, 18, 19, 20, 21, 22, 23, 24, 29, 30, 34, 44, 46, 47, 48, 49)
+ENCRYPTED_TYPES = (9, 10, 18, 19, 20, 22, 23, 25, 26, 33, 34, 35, 39, 40, 44, 45, 46, 47, 49)
 
 # Name, format and byte offset of the header fields of each kind.
 FIELDS: dict[str, list[tuple[str, str, int]]] = {
@@ -127,7 +127,12 @@ def signed(x: int) -> int:
 
 def encrypted_type(kind: Column) -> Column:
     """Whether an object type is stored encrypted: one of the list, or both flag bits set."""
-    return kind.isin(*ENCRYPTED_TYPES) | (kind.bitwiseAND(F.lit(0xA0)) == 0xA0)
+    return F.when(kind.bitwiseAND(F.lit(0x80)) != 0, kind.bitwiseAND(F.lit(0x20)) != 0).otherwise(kind.isin(*ENCRYPTED_TYPES))
+
+
+def is_encrypted_type(kind: int) -> bool:
+    """encrypted_type for one number."""
+    return kind & 0xA0 == 0xA0 if kind & 0x80 else kind in ENCRYPTED_TYPES
 
 
 def full_or_incremental(from_guid: Column) -> Column:

@@ -8,6 +8,7 @@ the second, listings join both, and a tree is extracted in a single replay of al
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from typing import NamedTuple
 
 import pandas as pd
@@ -31,6 +32,13 @@ class PathError(ValueError):
     """A path that a snapshot does not have, or that is not what was asked for."""
 
 
+class KeyNeeded(ValueError):
+    """A key that is missing, or one that nothing needs."""
+
+
+Pieces = Callable[[DataFrame], DataFrame]
+
+
 class Snapshot(NamedTuple):
     """A snapshot's tables: the live log of its chain, objects and entries; and its attribute registry."""
 
@@ -41,21 +49,36 @@ class Snapshot(NamedTuple):
     objects: DataFrame
     entries: DataFrame
     known: attributes.Registry
+    pieces: Pieces
+
+
+def plain_pieces(life: DataFrame) -> DataFrame:
+    """(object, lo, data) of all bytes that a live log's objects show."""
+    return verbs.read_segments(verbs.segments_of(life))
 
 
-def opened(spark: SparkSession, path: str, snapshot: str | None = None, verify: bool = True) -> Snapshot:
-    """A snapshot of a stream, ready to be listed and read."""
+def opened(spark: SparkSession, path: str, snapshot: str | None = None, verify: bool = True, key: bytes | None = None) -> Snapshot:
+    """A snapshot of a stream, ready to be listed and read; an encrypted one needs its key material."""
     if verify:
         verbs.inspect(spark, path)
     recs = verbs.indexed(spark, path)
     snaps = stream.snapshots(recs)
-    chain = lineage.chain(snaps, verbs.selected(snaps, snapshot))
+    target = verbs.selected(snaps, snapshot)
+    chain = lineage.chain(snaps, target)
+    if snaps.where(F.col("idx") == target).first()["raw"]:
+        if key is None:
+            raise KeyNeeded(f"{snapshot or path} is encrypted")
+        from tidelog.plans import raw
+
+        return raw.opened(spark, path, key, snapshot, verify=False)
+    if key is not None:
+        raise KeyNeeded("a key for what is not encrypted")
     scratch = Scratch(spark, "snapshot")
     life = scratch.save(verbs.live_log(verbs.log_of(recs, snaps, chain)), "life")
     objects = scratch.save(objects_of(life), "objects")
     entries = scratch.save(entries_of(life, objects), "entries")
     guid = chain.where("depth = 0").first()["to_guid"]
-    return Snapshot(spark, scratch, guid, life, objects, entries, registry_of(entries))
+    return Snapshot(spark, scratch, guid, life, objects, entries, registry_of(entries), plain_pieces)
 
 
 def objects_of(life: DataFrame) -> DataFrame:
@@ -67,12 +90,11 @@ def objects_of(life: DataFrame) -> DataFrame:
     return found.where("object_type is not null")
 
 
-def entries_of(life: DataFrame, objects: DataFrame) -> DataFrame:
+def entries_of(life: DataFrame, objects: DataFrame, read: Pieces = plain_pieces) -> DataFrame:
     """(object, name, width, numbers): every entry of every attribute table. A table that breaks the format, or is
     larger than one may be, is an error."""
     tables = objects.where(F.col("object_type").isin(*wire.METADATA_TYPES)).select("object", F.col("block_size").alias("block"))
-    segs = verbs.segments_of(life.join(tables, "object", "left_semi"))
-    pieces = verbs.read_segments(segs).join(tables, "object")
+    pieces = read(life.join(tables, "object", "left_semi")).join(tables, "object")
 
     def parsed(pdf: pd.DataFrame) -> pd.DataFrame:
         end = max(lo + len(d) for lo, d in zip(pdf["lo"], pdf["data"], strict=True))
@@ -114,6 +136,23 @@ def attributes_of(snap: Snapshot, objects: DataFrame) -> DataFrame:
     known = snap.known
     columns = [c.split(" ")[0] for c in ATTRIBUTES.split(", ")]
 
+    def row(number: int, bonus_type: int, bonus: bytes, spill: bytes | None) -> tuple:
+        got = attributes.decoded(bonus_type, bonus, spill, known) or {}
+        at = attributes.size_offset(bonus_type, bonus, known)
+        beyond = attributes.size_offset(attributes.LAID_OUT, spill, known) if bonus_type == attributes.LAID_OUT else None
+        return number, *[None if got.get(n) is None else wire.signed(got[n]) for n in attributes.SHOWN], at, beyond
+
+    def typed(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns})
+
+    if "plain" in objects.columns:
+
+        def at_hand(batches):
+            for pdf in batches:
+                yield typed([row(r.object, int(r.bonus_type), bytes(r.plain), None if r.spill_data is None else bytes(r.spill_data)) for r in pdf.itertuples(index=False)])
+
+        return objects.select("object", "bonus_type", "plain", "spill_data").mapInPandas(at_hand, ATTRIBUTES)
+
     def work(batches):
         for pdf in batches:
             out = []
@@ -127,11 +166,8 @@ def attributes_of(snap: Snapshot, objects: DataFrame) -> DataFrame:
                             place = _Place(int(r.s_at), int(r.s_payload_length), int(r.s_codec), int(r.s_window))
                             with stream.opened(r.s_path) as g:
                                 spill = verbs.body_of(g, place)
-                        got = attributes.decoded(int(r.bonus_type), bonus, spill, known) or {}
-                        at = attributes.size_offset(int(r.bonus_type), bonus, known)
-                        beyond = attributes.size_offset(attributes.LAID_OUT, spill, known) if int(r.bonus_type) == attributes.LAID_OUT else None
-                        out.append((r.object, *[None if got.get(n) is None else wire.signed(got[n]) for n in attributes.SHOWN], at, beyond))
-            yield pd.DataFrame(out, columns=columns).astype({c: "Int64" for c in columns})
+                        out.append(row(r.object, int(r.bonus_type), bonus, spill))
+            yield typed(out)
 
     spill = [F.col(f"spill.{c}").alias(f"s_{c}") for c in ("path", "at", "payload_length", "codec", "window")]
     return objects.select("object", "bonus_type", "bonus.path", "bonus.at", "bonus.payload_length", *spill).mapInPandas(work, ATTRIBUTES)
@@ -214,13 +250,13 @@ def _descended(snap: Snapshot, table: DataFrame, root: int) -> DataFrame:
     return found.select(F.regexp_replace("path", "\0[0-9]+", "").alias("path"), F.col("node").alias("object"), kind.alias("kind"), "depth")
 
 
-def extract(spark: SparkSession, path: str, inside: str, target: str, snapshot: str | None = None, verify: bool = True, overwrite: bool = True) -> str:
+def extract(spark: SparkSession, path: str, inside: str, target: str, snapshot: str | None = None, verify: bool = True, overwrite: bool = True, key: bytes | None = None) -> str:
     """Extracts a file by its path, with the state that deltas are applied by; its SHA-256."""
-    snap = opened(spark, path, snapshot, verify)
+    snap = opened(spark, path, snapshot, verify, key)
     at = resolve(snap, inside)
     if at.kind != FILE:
         raise PathError(f"{at.path} is no file")
-    pieces = verbs.read_segments(verbs.segments_of(snap.life.where(F.col("object") == at.object_id)))
+    pieces = snap.pieces(snap.life.where(F.col("object") == at.object_id))
     sha = sink.publish(pieces, target, at.size, overwrite)
     verbs.save_state(target, at.object_id, at.size, snap.guid, sha, path=at.path, bonus_type=at.bonus_type, size_bonus_offset=at.size_bonus_offset, size_spill_offset=at.size_spill_offset)
     return sha
@@ -235,13 +271,13 @@ class Totals(NamedTuple):
     skipped: int
 
 
-def extract_tree(spark: SparkSession, path: str, inside: str, target: str, snapshot: str | None = None, verify: bool = True, overwrite: bool = False) -> Totals:
+def extract_tree(spark: SparkSession, path: str, inside: str, target: str, snapshot: str | None = None, verify: bool = True, overwrite: bool = False, key: bytes | None = None) -> Totals:
     """Extracts all files below a directory in one replay, and publishes the tree in one step.
 
     Links and other entries are skipped and counted. Names that are not safe everywhere are an error before anything
     is written. The tree's entries are lineage.TREE_ENTRIES at most, and the driver holds their names and sizes.
     """
-    snap = opened(spark, path, snapshot, verify)
+    snap = opened(spark, path, snapshot, verify, key)
     below = snap.scratch.save(walked(snap, inside), "below")
     bad = below.where(~text.safe_component(F.substring_index("path", "/", -1))).select("path").limit(1).collect()
     if bad:
@@ -254,7 +290,7 @@ def extract_tree(spark: SparkSession, path: str, inside: str, target: str, snaps
     files = [(r["path"].lstrip("/"), r["size"]) for r in known.select("path", "size").collect()]
     folders = [r["path"].lstrip("/") for r in below.where(f"kind = {DIRECTORY}").select("path").collect()]
     wanted = known.select("object", F.expr("substring(path, 2)").alias("file"), "size")
-    pieces = verbs.read_segments(verbs.segments_of(snap.life.join(wanted, "object", "left_semi"))).join(wanted, "object").where("lo < size")
+    pieces = snap.pieces(snap.life.join(wanted, "object", "left_semi")).join(wanted, "object").where("lo < size")
     cut = pieces.select("file", "lo", F.expr("substring(data, 1, cast(least(length(data), size - lo) as int))").alias("data"))
     sink.publish_tree(cut, files, folders, os.path.abspath(target), overwrite)
     return Totals(*row)

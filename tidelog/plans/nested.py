@@ -70,6 +70,8 @@ def replayed(snap: snapshots.Snapshot, inside: str) -> Replayed:
     at = snapshots.resolve(snap, inside)
     if at.kind != snapshots.FILE:
         raise snapshots.PathError(f"{at.path} is no file")
+    if snap.pieces is not snapshots.plain_pieces:
+        raise ImageError("an image in an encrypted snapshot: extract it first")
     life = snap.life.where(F.col("object") == at.object_id)
     found = verbs.segments_of(life).select("lo", "hi", "begins", "path", "at", "payload_length", "how", "codec", "etype", "logical", "packed", "window").where(F.col("lo") < at.size)
     if found.limit(MOST_SEGMENTS + 1).count() > MOST_SEGMENTS:

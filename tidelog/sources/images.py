@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 import zstandard
 
-from tidelog.functions import codecs, wire
+from tidelog.functions import aes, codecs, wire
 from tidelog.sources.ranges import opened
 
 
@@ -99,6 +99,20 @@ class Cursor(io.RawIOBase):
         return n
 
 
+class Sectors(Source):
+    """An image whose sectors of 512 bytes are sealed each for itself under a key of 64 bytes."""
+
+    def __init__(self, source: Source, key: bytes):
+        if not source.size or source.size % 512:
+            raise ImageError("a sealed image of no whole sectors")
+        self.source, self.key, self.size = source, key, source.size
+
+    def fetch(self, at: int, n: int) -> bytes:
+        first, end = at // 512, -(-(at + n) // 512)
+        data = aes.xts(self.key, self.source.read(first * 512, (end - first) * 512), first)
+        return data[at - first * 512 :][:n]
+
+
 class Mapped(Source):
     """A source made of units of one length, each somewhere below it or nowhere (zeros)."""
 
