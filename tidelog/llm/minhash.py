@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
-from tidelog.llm.shingles import bytes_of, in_pieces, mixed, shingle_sets, word_hashes
+from tidelog.llm.shingles import bytes_of, in_pieces, lean, mixed, shingle_sets, word_hashes
 from tidelog.session import Scratch
 
 #: 25 bands of 5: a pair at similarity 0.85 shares none with a chance of 4e-7, one at 0.8 with 5e-5.
@@ -155,7 +155,7 @@ def sets_of(ids: DataFrame, documents: DataFrame, scratch: Scratch, name: str) -
     need = scratch.save(ids.toDF("doc_id").distinct(), f"{name}-need")
     words = bloom(need, need.count())
     bit = [F.xxhash64("doc_id", F.lit(k)).bitwiseAND(F.lit(64 * len(words) - 1)) for k in (1, 2)]
-    made = documents.where("doc_id is not null").select("doc_id", "text", *[b.alias(f"bit_{k}") for k, b in enumerate(bit)]).mapInArrow(set_batches(words), "doc_id long, shingles array<long>")
+    made = documents.where("doc_id is not null").select("doc_id", "text", *[b.alias(f"bit_{k}") for k, b in enumerate(bit)]).mapInArrow(lean(set_batches(words)), "doc_id long, shingles array<long>")
     out = scratch.save(made, name)
     scratch.drop(f"{name}-need")
     return out
@@ -235,7 +235,7 @@ def grouped(documents: DataFrame, scratch: Scratch, percent: int = 80, bands: in
     one document. Rows without a doc_id are kept and have no component. Columns besides doc_id and text are ignored.
     """
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = scratch.save(narrow.mapInArrow(sketch_batches(bands, rows), SKETCH), "sketches")
+    sketches = scratch.save(narrow.mapInArrow(lean(sketch_batches(bands, rows)), SKETCH), "sketches")
     full = sketches.where("n_shingles > 0 and doc_id is not null")
     prints = ["print_a", "print_b", "n_shingles"]
     copies = full.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
@@ -260,9 +260,9 @@ def grouped(documents: DataFrame, scratch: Scratch, percent: int = 80, bands: in
     placed = scratch.save(buckets.join(labels, buckets["rep"] == labels["node"], "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label")), "placed")
     scratch.drop("buckets")
     parts = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    apart = parts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size")).where("labels > 1")
-    apart = scratch.save(apart.select("bucket", "main", "size"), "apart")
-    left = scratch.save(placed.join(apart, "bucket").select("bucket", "rep", "label", "size", (F.col("label") != F.col("main")).alias("minor")), "left")
+    apart = parts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("minors")).where("labels > 1")
+    apart = scratch.save(apart.select("bucket", "main", "size", "minors"), "apart")
+    left = scratch.save(placed.join(apart, "bucket").select("bucket", "rep", "label", "size", "minors", (F.col("label") != F.col("main")).alias("minor")), "left")
     scratch.drop("apart", "placed")
     small = left.where(f"size <= {SMALL}")
     x = small.where("minor").select("bucket", F.col("rep").alias("x"), F.col("label").alias("lx"))
@@ -273,9 +273,8 @@ def grouped(documents: DataFrame, scratch: Scratch, percent: int = 80, bands: in
     sets = sets_of(near.select("a").union(near.select("b")).union(large.select("rep")), narrow, scratch, "rest-sets")
     more = scratch.save(verified(near, sets, percent), "rest-links")
 
-    counts = large.groupBy("bucket").agg(F.sum(F.col("minor").cast("int")).alias("minors"))
     whole = sketches.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("rep"), "signature", "bands")
-    large = large.join(counts, "bucket").join(whole, "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    large = large.join(whole, "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
     at = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(F.col(n) / BLOCK)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / BLOCK).cast("int") - 1))
     told = ["rep", "label", "signature", "bands", "shingles"]
