@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.sharding import numbered
-from tidelog.llm.shingles import in_pieces
+from tidelog.llm.shingles import in_pieces, lean
 from tidelog.llm.tokens import VOCABULARY, encoder
 from tidelog.session import Scratch
 
@@ -93,11 +93,11 @@ def planned(histogram: dict[int, int], room: int = ROOM) -> Plan:
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
-def piece_batches(room: int, end: int, vocabulary: str, ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def piece_batches(room: int, end: int, vocabulary: str, ids: bool, specials: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From (doc_id, text) to PIECE, with the ids as little-endian unsigned 32-bit bytes if asked for."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary, specials).encode
         last = end.to_bytes(4, "little")
         for batch in batches:
             for part in in_pieces(batch, 1):
@@ -116,10 +116,11 @@ def piece_batches(room: int, end: int, vocabulary: str, ids: bool) -> Callable[[
     return work
 
 
-def pieces(documents: DataFrame, room: int = ROOM, end: int = END, vocabulary: str = VOCABULARY, ids: bool = False) -> DataFrame:
-    """Every row's pieces; a null text is empty and makes one piece that holds the end id alone."""
+def pieces(documents: DataFrame, room: int = ROOM, end: int = END, vocabulary: str = VOCABULARY, ids: bool = False, specials: bool = True) -> DataFrame:
+    """Every row's pieces; a null text is empty and makes one piece that holds the end id alone. Strings of special
+    tokens in a text become those tokens' ids, as the library's plain call has it, unless specials is false."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(piece_batches(room, end, vocabulary, ids), PIECE + ", ids binary" * ids)
+    return rows.mapInArrow(lean(piece_batches(room, end, vocabulary, ids, specials)), PIECE + ", ids binary" * ids)
 
 
 def placed_batches(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -137,29 +138,29 @@ def placed_batches(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return work
 
 
-def packed(documents: DataFrame, room: int = ROOM, end: int = END, vocabulary: str = VOCABULARY) -> DataFrame:
+def packed(documents: DataFrame, room: int = ROOM, end: int = END, vocabulary: str = VOCABULARY, specials: bool = True) -> DataFrame:
     """PIECE, sequence_id and offset for every piece of documents (doc_id, text); other columns are ignored.
 
     Equal rows, and rows without a doc_id, are packed each for itself. An empty table makes no sequence.
     """
     scratch = Scratch(documents.sparkSession, "packing")
-    cut = scratch.save(pieces(documents, room, end, vocabulary), "pieces")
+    cut = scratch.save(pieces(documents, room, end, vocabulary, specials=specials), "pieces")
     # room rows at most
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     ranked, _ = numbered(cut, ["length", "doc_id", "piece", "ids_crc32"], scratch, "ranked")
     ranked = ranked.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "row_number")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.mapInArrow(placed_batches(planned(histogram, room)), schema)
+    return ranked.mapInArrow(lean(placed_batches(planned(histogram, room))), schema)
 
 
-def sequences(documents: DataFrame, room: int = ROOM, end: int = END, vocabulary: str = VOCABULARY) -> DataFrame:
+def sequences(documents: DataFrame, room: int = ROOM, end: int = END, vocabulary: str = VOCABULARY, specials: bool = True) -> DataFrame:
     """One row per sequence: sequence_id, ids (array of long, room at most), and starts: the documents' places in it."""
-    places = packed(documents, room, end, vocabulary).select("doc_id", "piece", "ids_crc32", "sequence_id", "offset")
+    places = packed(documents, room, end, vocabulary, specials).select("doc_id", "piece", "ids_crc32", "sequence_id", "offset")
     # rows that repeat have equal pieces, which may swap places
     key = ["doc_id", "piece", "ids_crc32", "nth"]
     nth = "row_number() over (partition by doc_id, piece, ids_crc32 order by {})"
     places = places.withColumn("nth", F.expr(nth.format("sequence_id, offset")))
-    full = pieces(documents, room, end, vocabulary, ids=True).select("doc_id", "piece", "ids_crc32", "ids").withColumn("nth", F.expr(nth.format("length(ids)")))
+    full = pieces(documents, room, end, vocabulary, True, specials).select("doc_id", "piece", "ids_crc32", "ids").withColumn("nth", F.expr(nth.format("length(ids)")))
     both = places.join(full, [F.equal_null(places[k], full[k]) for k in key]).select("sequence_id", "offset", places["doc_id"], "ids")
     each = both.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("parts"))
 

@@ -7,14 +7,16 @@ by a prefix scan over the blocks' last separators.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.shingles import in_pieces
+from tidelog.llm.shingles import in_pieces, lean
 from tidelog.llm.tokens import VOCABULARY, encoder
 from tidelog.session import Scratch
 
@@ -25,27 +27,53 @@ WIDTH = 2
 BLOCK = 8 << 20
 
 
-def id_batches(vocabulary: str, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From batches (text) to (ids): each text's ids as bytes."""
+MANIFEST = "doc_id long, file string, ordinal long"
+
+
+def created(path: str) -> BinaryIO:
+    """A new file in any store that this process can open."""
+    if path.startswith("file:"):
+        return open("/" + path.removeprefix("file:").lstrip("/"), "wb")
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_output_stream(name)
+
+
+def file_batches(path: str, vocabulary: str, end: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches (doc_id, text) to MANIFEST; each task writes its texts' ids to a file of its own."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
-        for batch in batches:
-            for piece in in_pieces(batch, 0):
-                ids = [np.frombuffer(encode(t or ""), "<u4").astype(f"<u{width}").tobytes() for t in piece.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
+        encode = encoder(vocabulary, specials=False).encode
+        close = end.to_bytes(width, "little")
+        name, ordinal, f = f"{path}/{uuid.uuid4().hex}.bin", 0, None
+        try:
+            for batch in batches:
+                for piece in in_pieces(batch, 1):
+                    f = f or created(name)
+                    for text in piece.column(1).to_pylist():
+                        f.write(np.frombuffer(encode(text or ""), "<u4").astype(f"<u{width}").tobytes() + close)
+                    n = piece.num_rows
+                    yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([name] * n, pa.string()), pa.array(np.arange(ordinal, ordinal + n))], names=["doc_id", "file", "ordinal"])
+                    ordinal += n
+        finally:
+            if f:
+                f.close()
 
     return work
 
 
-def write_tokens(texts: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, width: int = WIDTH) -> None:
-    """Writes column `text` as flat token files, a file per partition, in the rows' order. A null text has no ids.
+def write_tokens(documents: DataFrame, scratch: Scratch, name: str, vocabulary: str = VOCABULARY, end: int = END, width: int = WIDTH) -> DataFrame:
+    """Writes texts (doc_id, text) as flat token files under a name of the scratch folder; MANIFEST, as a written table.
 
-    Spark's text writer puts the end id, as its line separator, after each row's bytes, and publishes whole files.
+    A task writes a file of a new name and hands on which document stands where in it. Only the rows of tasks that
+    count reach the table, so it names exactly the files that count: what a lost executor or a second attempt left
+    behind is in no row. Nothing is read twice, so no document can get another's place. A null text has no ids; an
+    empty task writes no file; rows that repeat are documents each; other columns are ignored.
     """
-    ids = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(id_batches(vocabulary, width), "ids binary")
-    separator = end.to_bytes(width, "little").decode("latin-1")
-    ids.select(F.col("ids").cast("string")).write.mode("overwrite").option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
+    scratch.folder(name)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return scratch.save(rows.mapInArrow(lean(file_batches(scratch.at(name), vocabulary, end, width)), MANIFEST), f"{name}-manifest")
 
 
 def read_range(path: str, start: int, length: int) -> bytes:
@@ -88,7 +116,7 @@ def counted(spark: SparkSession, files: list[tuple[str, int]], scratch: Scratch,
     blocks = listed.select("path", "bytes", F.explode(F.expr(f"sequence(0L, (bytes - 1) div {block})")).alias("block"))
     blocks = blocks.select("path", "block", (F.col("block") * block).alias("start"), F.least(F.lit(block), F.col("bytes") - F.col("block") * block).alias("length"))
     total = sum(-(-n // block) for _, n in files)
-    seen = blocks.repartition(max(1, min(total, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))).mapInArrow(scanned_batches(end, width), "path string, block long, start long, length long, ends array<long>")
+    seen = blocks.repartition(max(1, min(total, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))).mapInArrow(lean(scanned_batches(end, width)), "path string, block long, start long, length long, ends array<long>")
     seen = scratch.save(seen, "blocks")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     last = F.max(F.expr("try_element_at(ends, -1)"))
@@ -102,20 +130,20 @@ def counted(spark: SparkSession, files: list[tuple[str, int]], scratch: Scratch,
 
 
 def query(documents: DataFrame) -> DataFrame:
-    """Each document's count, read back from files that its row was written to.
+    """Each document's count, scanned from the flat files that its text was written to.
 
-    The files hold no document ids: rows are written in the order in which Spark reads them, and the manifest numbers
-    the same reading. documents must therefore be a table as it is read, since a shuffled frame may come in another
-    order each time. A document without a count, or a count without a document, is an error.
+    The files hold no document ids and no index; the manifest that was written with them says which document stands
+    where. A document without a count, or a count without a document, is an error.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "tokens")
-    write_tokens(documents.select("text"), scratch.at("flat"))
-    counts = counted(spark, scratch.files("flat"), scratch)
-    part = F.regexp_extract("file", r"/part-(\d+)-", 1).cast("int").alias("part")
-    counts = counts.select(part, "ordinal", "start", "n_tokens", "closed")
-    place = F.monotonically_increasing_id()
-    order = documents.select("doc_id", F.shiftright(place, 33).cast("int").alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"), F.lit(True).alias("known"))
-    both = order.join(counts, ["part", "ordinal"], "full")
+    order = write_tokens(documents, scratch, "flat")
+    # a row per task that wrote
+    names = {r["file"] for r in order.select("file").distinct().collect()}
+    files = [(p, n) for p, n in scratch.files("flat") if p.rsplit("/", 1)[-1] in {x.rsplit("/", 1)[-1] for x in names}]
+    counts = counted(spark, files, scratch)
+    base = lambda c: F.substring_index(c, "/", -1)
+    counts = counts.select(base("file").alias("file"), "ordinal", "start", "n_tokens", "closed")
+    both = order.select("doc_id", base("file").alias("file"), "ordinal", F.lit(True).alias("known")).join(counts, ["file", "ordinal"], "full")
     sure = F.when(F.col("known") & F.col("closed"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("token files and documents do not match")).cast("long"))
-    return both.select("doc_id", sure.alias("n_tokens"), "part", "ordinal", F.col("start").alias("first_token"))
+    return both.select("doc_id", sure.alias("n_tokens"), "file", "ordinal", F.col("start").alias("first_token"))

@@ -6,6 +6,7 @@ import re
 import sys
 import types
 import unicodedata
+from array import array
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -22,20 +23,22 @@ def _class(kind: str) -> str:
 
 
 class WordEncoder(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes; encode() does whole texts.
+    """word -> its ids as unsigned 32-bit bytes, little-endian as all machines that Spark runs on; encode() does whole texts.
 
     The tokenizer lower-cases, parts a text into words by a pattern and encodes each word for itself, so that equal
     words have equal ids. Texts of printable Latin characters, white space and nothing that normalisation would
     compose are parted here, and only words new to the cache go to the library; all other texts go to it whole.
-    Strings of special tokens in a text are ordinary text.
+    With `specials`, strings of special tokens in a text become their ids, as by the library's plain call; without,
+    they are ordinary text.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, specials: bool):
         super().__init__()
         path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = not specials
         self.model = self.whole.model
+        self.marks = tuple(t.content for t in self.whole.get_added_tokens_decoder().values()) if specials else ()
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         self.printable = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
         letter, digit = _class("L"), _class("N")
@@ -50,21 +53,22 @@ class WordEncoder(dict):
         return ids
 
     def by_model(self, word: str) -> bytes:
-        """The ids of one lower-case word; the model reads bytes as printable characters."""
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.printable)))
+        """The ids of one lower-case word; the model reads bytes as printable characters, which those of ASCII are."""
+        seen = word if word.isascii() else word.encode().decode("latin-1").translate(self.printable)
+        return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
 
     def by_library(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.odd(text):
+        if self.odd(text) or any(m in text for m in self.marks):
             return self.by_library(text)
         return b"".join(map(self.__getitem__, self.words(text.lower())))
 
 
-def encoder(vocabulary: str = VOCABULARY) -> WordEncoder:
+def encoder(vocabulary: str = VOCABULARY, specials: bool = True) -> WordEncoder:
     """This process's encoder for a vocabulary."""
     home = sys.modules.setdefault(_HOME, types.ModuleType(_HOME)).__dict__
-    if vocabulary not in home:
-        home[vocabulary] = WordEncoder(vocabulary)
-    return home[vocabulary]
+    if (vocabulary, specials) not in home:
+        home[vocabulary, specials] = WordEncoder(vocabulary, specials)
+    return home[vocabulary, specials]
