@@ -1,15 +1,17 @@
 """Near-duplicate vectors by flat proximity graphs with robust pruning.
 
 1. Vectors are scaled to length 1 in double precision; equal ones form a class that one of them stands for.
-2. Centroids, fitted on a bounded sample, part all representatives into overlapping shards: each goes to its nearest
-   few. A cluster that is larger than a shard may be is dealt into blocks, and every pair of blocks is a shard.
+2. Centroids, fitted on a bounded sample, part all representatives into overlapping clusters: each goes to its nearest
+   few. A cluster that is far too large is parted again, by centroids of its own, as often as it takes, so that
+   shards keep their size however many vectors there are. What cannot be parted, since its vectors lie close
+   together, is dealt into blocks, and every pair of blocks is a shard.
 3. Each shard builds a graph: from a random start, greedy searches from the medoid find each vector's surroundings,
    and robust pruning keeps edges in different directions.
 4. Adjacency lists of the same vector from different shards are united, and go back to all its shards.
 5. In every shard each vector searches greedily from the medoid, then expands from what lies within the range to its
    neighbours until nothing new does. Cosines are verified in double precision.
 6. Recall is audited against brute force for a bounded sample of vectors; where it is too low, the whole search is done
-   again with more overlap.
+   again with more overlap, and at last with all vectors as one cluster, so that every pair meets in some shard.
 
 Only counts, local union-find trees and audits leave a shard, never all its pairs: a pair is counted in the one shard
 that owns it, the first that holds both.
@@ -25,15 +27,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
+from tidelog.llm.shingles import lean
 from tidelog.session import Scratch
 
 #: Members of a shard on average, and those beyond which a cluster is dealt into blocks of half as many.
 SHARD, MOST = 256, 384
 CENTROIDS = 2048
+#: Members beyond which a cluster is parted again, levels at most, and members of it that its centroids are fitted on.
+SPLIT, LEVELS, FITTED = 8 * MOST, 4, 8192
+#: Clusters whose vectors have this cosine with their mean, on average, are not parted; centroids this near are one.
+TIGHT = 0.95
 #: Vectors, and bytes, that centroids are fitted on at most.
 SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
 DEGREE, BEAM, ALPHA = 16, 24, 1.2
-AUDIT, RECALL = 256, 0.95
+#: Vectors that are audited; the recall that is worked for, and the least that is accepted.
+AUDIT, RECALL, LEAST_RECALL = 256, 0.95, 0.9
 
 
 def unit_batches(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -79,19 +87,86 @@ def centroids_of(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def assigned_batches(centroids: np.ndarray, overlap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (rep, unit, ...) to the same with clusters: the nearest `overlap`, in the order of their numbers."""
+    """From (rep, unit) to (rep, leaf): a row for each of the nearest `overlap` centroids, by their numbers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = min(overlap, len(centroids))
-            near = matrix(batch.column(1)) @ centroids.T if batch.num_rows else np.zeros((0, len(centroids)))
-            top = np.sort(np.argpartition(-near, m - 1, axis=1)[:, :m], axis=1) if batch.num_rows else np.zeros((0, m), int)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(top) + 1, dtype=np.int32) * m), pa.array(top.ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "clusters"])
+            if batch.num_rows:
+                top = nearest(matrix(batch.column(1)), centroids, overlap)
+                reps = np.repeat(batch.column(0).to_numpy(), top.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(top.ravel().astype(np.int64))], names=["rep", "leaf"])
 
     return work
 
 
+def nearest(x: np.ndarray, centroids: np.ndarray, overlap: int) -> np.ndarray:
+    m = min(overlap, len(centroids))
+    return np.argpartition(-(x @ centroids.T), m - 1, axis=1)[:, :m]
+
+
+def fit_children(overlap: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """From a sample (leaf, size, unit) of a cluster to its row (leaf, centroids); none if it cannot be parted."""
+
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        x = matrix(table["unit"])
+        mean = x.mean(axis=0)
+        size = table["size"][0].as_py()
+        found = []
+        if np.sqrt(mean @ mean) < TIGHT:
+            for c in centroids_of(x, min(CENTROIDS, -(-overlap * size // SHARD), max(2, len(x) // 8))):
+                if not found or (np.stack(found) @ c).max() < TIGHT:
+                    found.append(c)
+        some = len(found) > 1
+        return pa.table({"leaf": pa.array([key[0].as_py()] * some, pa.int64()), "centroids": pa.array([np.stack(found).tobytes()] if some else [], pa.binary())})
+
+    return work
+
+
+def child_of(overlap: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """Deals a chunk of a cluster's members (leaf, chunk, rep, unit) to its children by their centroids."""
+
+    def work(key: tuple, members: pa.Table, parted: pa.Table) -> pa.Table:
+        if not len(members) or not len(parted):
+            return pa.table({"rep": pa.array([], pa.int64()), "leaf": pa.array([], pa.int64())})
+        x = matrix(members["unit"])
+        centroids = np.frombuffer(parted["centroids"][0].as_py(), np.float64).reshape(-1, x.shape[1])
+        top = nearest(x, centroids, overlap)
+        leaf = (key[0].as_py() + 1) * CENTROIDS + top
+        return pa.table({"rep": pa.array(np.repeat(members["rep"].to_numpy(), top.shape[1])), "leaf": pa.array(leaf.ravel().astype(np.int64))})
+
+    return work
+
+
+def parted(reps: DataFrame, pairs: DataFrame, overlap: int, width: int, scratch: Scratch, name: str) -> DataFrame:
+    """pairs (rep, leaf) with every leaf that is far too large parted again, level by level, until none is or none can.
+
+    A leaf's children are numbered (leaf + 1) * CENTROIDS and on, so that numbers of all levels differ. Fitting takes
+    FITTED sampled members of a leaf, or fewer of wide vectors, and one task; dealing takes as many tasks as it has chunks.
+    """
+    fitted = max(64, min(FITTED, SAMPLE_BYTES // (8 * width)))
+    done: list[DataFrame] = []
+    for level in range(1, LEVELS + 1):
+        sizes = scratch.save(pairs.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SPLIT), f"{name}-sizes-{level}")
+        if sizes.limit(1).count() == 0:
+            break
+        chance = F.xxhash64("rep", F.lit(31 + level)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+        large = pairs.join(sizes, "leaf")
+        sample = large.where(chance < fitted / F.col("size")).join(reps.select("rep", "unit"), "rep").select("leaf", "size", "unit")
+        told = scratch.save(sample.groupBy("leaf").applyInArrow(fit_children(overlap), "leaf long, centroids binary"), f"{name}-centroids-{level}")
+        if told.limit(1).count() == 0:
+            break
+        chunks = F.ceil(F.col("size") / fitted).cast("int")
+        going = large.join(told.select("leaf"), "leaf").join(reps.select("rep", "unit"), "rep").select("leaf", F.pmod(F.xxhash64("rep", F.lit(3)), chunks).cast("int").alias("chunk"), "rep", "unit")
+        rows = told.join(sizes, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "centroids")
+        below = going.groupBy("leaf", "chunk").cogroup(rows.groupBy("leaf", "chunk")).applyInArrow(child_of(overlap), "rep long, leaf long")
+        below = scratch.save(below, f"{name}-level-{level}")
+        done.append(pairs.join(told.select("leaf"), "leaf", "left_anti").select("rep", "leaf"))
+        pairs = below
+    for part in done:
+        pairs = pairs.union(part)
+    return pairs
+
+
 def greedy(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search for all queries at once: (ids, cosines), `beam` wide, nearest first; ids of -1 are empty.
 
@@ -239,9 +314,12 @@ def search_shard(least: float) -> Callable[[tuple, pa.Table], pa.Table]:
         found = in_range(x, graph, int(np.argmax(x @ x.mean(axis=0))), least)
         found[ids[:, None] == ids[None, :]] = False
         # the first cluster that holds both vectors owns their pair, and within it the shard of their two blocks
-        lists = np.stack(take("clusters").to_pylist()).astype(np.int64)
+        told = take("clusters").to_pylist()
+        lists = np.full((n, max(map(len, told))), -1, np.int64)
+        for r, own in enumerate(told):
+            lists[r, : len(own)] = own
         a, b = np.nonzero(found)
-        both = (lists[a][:, :, None] == lists[b][:, None, :]).any(axis=2)
+        both = ((lists[a][:, :, None] == lists[b][:, None, :]) & (lists[a] >= 0)[:, :, None]).any(axis=2)
         first = np.where(both, lists[a], np.iinfo(np.int64).max).min(axis=1) if len(a) else np.zeros(0, np.int64)
         owns = (first == cluster) & ((i == j) | (block[a] != block[b]))
         links = np.bincount(a[owns], weights=copies[b[owns]], minlength=n).astype(np.int64)
@@ -271,29 +349,32 @@ def audit_batches(units: np.ndarray, ids: np.ndarray, least: float) -> Callable[
     return work
 
 
-def searched(reps: DataFrame, sizes: tuple[int, int], least: float, overlap: int, scratch: Scratch, name: str) -> DataFrame:
-    """(rep, links, root) from every shard, for written rows reps (rep, unit, copies); sizes: their number and width."""
-    spark = reps.sparkSession
+def searched(reps: DataFrame, sizes: tuple[int, int], least: float, overlap: int | None, scratch: Scratch, name: str) -> DataFrame:
+    """(rep, links, root) from every shard, for written rows reps (rep, unit, copies); sizes: their number and width.
+    Without an overlap all vectors are one cluster."""
     n, width = sizes
-    share = min(1.0, min(SAMPLE, SAMPLE_BYTES // (8 * width)) / n)
-    chance = F.xxhash64("rep", F.lit(11)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    sample = reps.where(chance < share).select("rep", "unit").limit(2 * SAMPLE).toArrow().sort_by("rep")
-    centroids = centroids_of(matrix(sample["unit"]), min(CENTROIDS, -(-overlap * n // SHARD))) if len(sample) else np.eye(1, width)
-    fields = "rep long, unit binary, copies long"
-    spread = scratch.save(reps.select("rep", "unit", "copies").mapInArrow(assigned_batches(centroids, overlap), fields + ", clusters array<int>"), f"{name}-spread")
-    # one row per cluster, CENTROIDS at most
-    counts = spread.select(F.explode("clusters").alias("cluster")).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    blocks = counts.select("cluster", F.when(F.col("size") <= MOST, 1).otherwise(F.ceil(F.col("size") / (MOST // 2))).cast("int").alias("blocks"))
-    blocks = spark.createDataFrame(blocks.collect(), "cluster int, blocks int")
-    cells = spread.withColumn("cluster", F.explode("clusters")).join(F.broadcast(blocks), "cluster")
+    if overlap is None:
+        pairs = reps.select("rep", F.lit(0).cast("long").alias("leaf"))
+    else:
+        share = min(1.0, min(SAMPLE, SAMPLE_BYTES // (8 * width)) / n)
+        chance = F.xxhash64("rep", F.lit(11)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+        sample = reps.where(chance < share).select("rep", "unit").limit(2 * SAMPLE).toArrow().sort_by("rep")
+        centroids = centroids_of(matrix(sample["unit"]), min(CENTROIDS, -(-overlap * n // SHARD))) if len(sample) else np.eye(1, width)
+        first = scratch.save(reps.select("rep", "unit").mapInArrow(lean(assigned_batches(centroids, overlap)), "rep long, leaf long"), f"{name}-first")
+        pairs = parted(reps, first, overlap, width, scratch, name)
+    pairs = scratch.save(pairs, f"{name}-pairs")
+    large = scratch.save(pairs.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > MOST).select(F.col("leaf").alias("cluster"), F.ceil(F.col("size") / (MOST // 2)).cast("int").alias("blocks")), f"{name}-large")
+    lists = pairs.groupBy("rep").agg(F.sort_array(F.collect_set("leaf")).alias("clusters"))
+    spread = scratch.save(reps.select("rep", "unit", "copies").join(lists, "rep"), f"{name}-spread")
+    cells = spread.withColumn("cluster", F.explode("clusters")).join(large, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cells = cells.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # a block meets itself in the shard of another block too, unless it is the only one
     cells = cells.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "unit", "copies", "clusters", "block")
-    lists = scratch.save(cells.select(*CELL, "rep", "unit").groupBy(*CELL).applyInArrow(build_shard, "rep long, around array<long>"), f"{name}-lists")
-    united = scratch.save(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("around"))).alias("around")), f"{name}-united")
-    scratch.drop(f"{name}-lists")
+    built_ = scratch.save(cells.select(*CELL, "rep", "unit").groupBy(*CELL).applyInArrow(build_shard, "rep long, around array<long>"), f"{name}-lists")
+    united = scratch.save(built_.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("around"))).alias("around")), f"{name}-united")
+    scratch.drop(f"{name}-lists", f"{name}-first")
     out = scratch.save(cells.join(united, "rep").groupBy(*CELL).applyInArrow(search_shard(least), "rep long, links long, root long"), name)
-    scratch.drop(f"{name}-spread", f"{name}-united")
+    scratch.drop(f"{name}-spread", f"{name}-united", f"{name}-pairs")
     return out
 
 
@@ -304,7 +385,7 @@ def audited(reps: DataFrame, found: DataFrame, n: int, least: float) -> float:
     if not len(asked):
         return 1.0
     ids = asked["rep"].to_numpy()
-    there = reps.select("rep", "copies", "unit").mapInArrow(audit_batches(matrix(asked["unit"]), ids, least), "rep long, expected long")
+    there = reps.select("rep", "copies", "unit").mapInArrow(lean(audit_batches(matrix(asked["unit"]), ids, least)), "rep long, expected long")
     there = there.groupBy("rep").agg(F.sum("expected").alias("expected"))
     got = found.where(F.col("rep").isin(ids.tolist())).groupBy("rep").agg(F.sum("links").alias("links"))
     row = there.join(got, "rep", "left").agg(F.sum("expected").alias("expected"), F.sum(F.least(F.coalesce("links", F.lit(0)), "expected")).alias("links")).first()
@@ -316,25 +397,29 @@ def linked(vectors: DataFrame, least: float = 0.9, recall: float = RECALL, overl
 
     Vectors that are null, empty or zero, or hold a null or non-finite component, and rows without a vec_id, link with
     nothing. Rows that repeat are vectors of their own. recall is the audit's figure for the search that was taken:
-    the first to reach the recall asked for, else the last, with eight times the overlap. Other columns are ignored.
+    the first to reach the recall asked for, with up to eight times the overlap, else the one over all pairs of blocks.
+    Where even that misses LEAST_RECALL it is an error. Other columns are ignored, whatever their names.
     """
     scratch = Scratch(vectors.sparkSession, "vectors")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     width = rows.agg(F.max(F.size("embedding"))).first()[0]
     width = max(1, width or 1)
-    units = scratch.save(rows.mapInArrow(unit_batches(width), "vec_id long, unit binary").withColumn("print", F.sha2("unit", 256)), "units")
+    units = scratch.save(rows.mapInArrow(lean(unit_batches(width)), "vec_id long, unit binary").withColumn("print", F.sha2("unit", 256)), "units")
     valid = units.where("unit is not null and vec_id is not null")
     classes = valid.groupBy("print").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"))
     reps = scratch.save(classes, "reps")
     n = reps.count()
-    reached, found = 1.0, None
-    while n:
-        found = searched(reps, (n, width), least, overlap, scratch, f"found-{overlap}")
+    reached, found, name = 1.0, None, ""
+    for width_of in [overlap, 2 * overlap, 4 * overlap, 8 * overlap, None] if n else []:
+        name = f"found-{width_of}"
+        found = searched(reps, (n, width), least, width_of, scratch, name)
         reached = audited(reps, found, n, least)
-        if reached >= recall or overlap >= 16:
+        if reached >= recall:
             break
-        scratch.drop(f"found-{overlap}")
-        overlap *= 2
+        if width_of is not None:
+            scratch.drop(name)
+    if reached < LEAST_RECALL:
+        raise RuntimeError(f"a recall of {reached:.3f}")
     names = scratch.save(reps.select("print", "rep", "copies"), "names")
     scratch.drop("reps")
     member = units.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("print")).alias("print")).join(names, "print", "left")
@@ -344,7 +429,7 @@ def linked(vectors: DataFrame, least: float = 0.9, recall: float = RECALL, overl
     labels = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch, "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = scratch.save(links.join(labels, links["rep"] == labels["node"], "left").select("rep", "links", F.coalesce("label", "rep").alias("label")), "known")
-    scratch.drop(f"found-{overlap}")
+    scratch.drop(name)
     out = member.join(known, "rep", "left")
     component = F.coalesce("label", "rep", "vec_id")
     return out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(float(reached)).alias("recall"))
