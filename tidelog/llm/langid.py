@@ -17,9 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shingles import BLOCK, bytes_of, in_pieces, word_hashes
+from tidelog.llm.shingles import BLOCK, bytes_of, in_pieces, lean, word_hashes
 
 DIMS = 4096
+#: Texts whose vectors are worked out at once: 4 MB of counts.
+ROWS = 256
 #: The model is fitted on about this many labelled texts, shared equally among the languages, twice that at most.
 SAMPLE = 3000
 CLUSTERS = 4
@@ -102,7 +104,7 @@ def counted_batches(counts_of: Features) -> Callable[[Iterator[pa.RecordBatch]],
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in in_pieces(batch, 2):
+            for piece in in_pieces(batch, 2, rows=ROWS):
                 found = counts_of(piece.column(2))
                 places = [np.flatnonzero(x).astype(np.uint16) for x in found]
                 counts = [x[p].tobytes() for x, p in zip(found, places, strict=True)]
@@ -126,7 +128,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, features: Features = features
     share = max(1, sample // len(sizes))
     ranked = (F.xxhash64("doc_id", F.lit(7)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).alias("u")
     most = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, share / n))])
-    taken = rows.where(ranked < F.element_at(most, F.col("lang"))).mapInArrow(counted_batches(features), "doc_id long, lang string, places binary, counts binary")
+    taken = rows.where(ranked < F.element_at(most, F.col("lang"))).mapInArrow(lean(counted_batches(features)), "doc_id long, lang string, places binary, counts binary")
     got = sorted(taken.limit(2 * sample).collect(), key=lambda r: (r["lang"], r["doc_id"]))
     if not got:
         return None
@@ -162,25 +164,26 @@ def judged(model: Model | None, texts: pa.Array, lettered: np.ndarray) -> tuple[
     return langs, score, lettered & (score >= model.floor[best])
 
 
-def cluster_batches(model: Model | None, lang: int, text: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches with a language and a text at these places: the text, which must be the last column, gives way to
-    the number (as a string) of the nearest of its language's centroids by word_features, `-` if that has none."""
+def clusters(model: Model | None, lang: Column, text: Column) -> Column:
+    """The number, as a string, of the nearest by word_features of a language's centroids, `-` if it has none. Only the
+    language and the text of a row go to Python."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in in_pieces(batch, text):
-                names = ["-"] * piece.num_rows
-                if model is not None and piece.num_rows:
-                    near = weighed(word_features(piece.column(text)), model.idf) @ model.centroids.T
-                    index = {x: i for i, x in enumerate(model.langs)}
-                    own = np.array([index.get(x, -1) for x in piece.column(lang).to_pylist()])
-                    near[model.owner[None, :] != own[:, None]] = -np.inf
-                    best = np.argmax(near, axis=1) if near.shape[1] else np.zeros(len(near), int)
-                    first = np.searchsorted(model.owner, own)
-                    names = [str(k) if o >= 0 else "-" for k, o in zip((best - first).tolist(), own.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(names, pa.string())], names=[*piece.schema.names[:-1], "cluster"])
+    def near(langs: pa.Array, texts: pa.Array) -> pa.Array:
+        index = {x: i for i, x in enumerate(model.langs)} if model else {}
+        own = np.array([index.get(x, -1) for x in langs.to_pylist()], np.int64)
+        out = np.full(len(own), "-", object)
+        at = 0
+        for piece in in_pieces(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, rows=ROWS):
+            mine = own[at : at + piece.num_rows]
+            if (mine >= 0).any():
+                cosine = weighed(word_features(piece.column(0)), model.idf) @ model.centroids.T
+                cosine[model.owner[None, :] != mine[:, None]] = -np.inf
+                best = np.argmax(cosine, axis=1) - np.searchsorted(model.owner, mine)
+                out[at : at + len(mine)] = np.where(mine >= 0, best.astype(str).astype(object), "-")
+            at += piece.num_rows
+        return pa.array(out.tolist(), pa.string())
 
-    return work
+    return F.arrow_udf(near, "string")(lang, text.cast("string"))
 
 
 def has_letter(text: Column) -> Column:
@@ -192,27 +195,26 @@ def predicted(texts: DataFrame, model: Model | None) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in in_pieces(batch, 1):
+            for piece in in_pieces(batch, 1, rows=ROWS):
                 langs, score, ok = judged(model, piece.column(1), piece.column(2).to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(ok)], names=["doc_id", "lang_pred", "score", "accepted"])
 
-    return texts.select("doc_id", "text", has_letter(F.col("text")).alias("lettered")).mapInArrow(work, "doc_id long, lang_pred string, score double, accepted boolean")
+    return texts.select("doc_id", "text", has_letter(F.col("text")).alias("lettered")).mapInArrow(lean(work), "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def accepting(df: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of df whose text (column `text`) the model accepts, all columns as they are. No model accepts all."""
+    """The rows of df whose text (column `text`) the model accepts, all columns as they are, whatever their names. No
+    model accepts all. Only the text of a row goes to Python."""
     if model is None:
         return df
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in in_pieces(batch, at):
-                ok = judged(model, piece.column(at), piece.column(piece.num_columns - 1).to_numpy(zero_copy_only=False))[2]
-                kept = piece.filter(pa.array(ok))
-                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+    def fine(texts: pa.Array, lettered: pa.Array) -> pa.Array:
+        both = pa.RecordBatch.from_arrays([texts, lettered], names=["text", "lettered"])
+        parts = [judged(model, p.column(0), p.column(1).to_numpy(zero_copy_only=False))[2] for p in in_pieces(both, 0, rows=ROWS)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))
 
-    at = df.columns.index("text")
-    return df.select("*", has_letter(df["text"]).alias("__lettered")).mapInArrow(work, df.schema)
+    text = df["text"].cast("string")
+    return df.where(F.arrow_udf(fine, "boolean")(text, has_letter(text)))
 
 
 def held_out(doc_id: Column) -> Column:

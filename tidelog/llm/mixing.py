@@ -217,10 +217,9 @@ def margined(documents: DataFrame, topics: langid.Model | None, whole: bool = Tr
     rows = nested(documents, text="text", source="source", lang="lang")
     told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c)
     row = F.col("row") if whole else F.struct("row.doc_id").alias("row")
-    rows = rows.select(row, told("source"), told("lang"), tokens(F.col("text")).alias("n_tokens"), F.col("text").cast("string").alias("text"))
-    near = langid.cluster_batches(topics, rows.columns.index("lang"), rows.columns.index("text"))
-    schema = rows.drop("text").withColumn("cluster", F.lit(None).cast("string")).schema
-    return rows.mapInArrow(near, schema).withColumn("topic", F.concat_ws("/", "lang", "cluster")).drop("cluster")
+    cluster = langid.clusters(topics, told("lang"), F.col("text"))
+    found = rows.select(row, told("source"), told("lang"), tokens(F.col("text")).alias("n_tokens"), cluster.alias("cluster"))
+    return found.select("row", "source", "lang", "n_tokens", F.concat_ws("/", "lang", "cluster").alias("topic"))
 
 
 def uniform(doc_id: Column) -> Column:

@@ -53,30 +53,41 @@ def numbered(df: DataFrame, by: list[str], scratch: Scratch, name: str = "number
 
     Rows are dealt by ranges of the key with their place in the input as its last part, so that equal keys part too;
     the sorted rows are written once, since sampled range bounds may differ in a second run. Each written partition's
-    first number is a sum over one row per partition. Rows that tie in `by` are numbered in any order.
+    first number is a sum over one row per partition. Rows that tie in `by` are numbered in any order. A column of df
+    that is called row_number gives way.
     """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    tied = df.withColumn("__tie", F.monotonically_increasing_id())
-    sorted_ = tied.repartitionByRange(n, *by, "__tie").sortWithinPartitions(*by, "__tie").drop("__tie")
-    placed = scratch.save(sorted_.withColumn("__id", F.monotonically_increasing_id()), name)
-    part = F.shiftright("__id", 33)
-    counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))
+    tie, place, part, start = (unused(df, k) for k in ("tie", "place", "part", "start"))
+    tied = df.withColumn(tie, F.monotonically_increasing_id())
+    sorted_ = tied.repartitionByRange(n, *by, tie).sortWithinPartitions(*by, tie).drop(tie)
+    placed = scratch.save(sorted_.withColumn(place, F.monotonically_increasing_id()), name)
+    counts = placed.groupBy(F.shiftright(place, 33).alias(part)).agg(F.count(F.lit(1)).alias(start))
     # one row for each partition of the write above
-    sizes = {r["__part"]: r["__rows"] for r in counts.collect()}
+    sizes = {r[part]: r[start] for r in counts.collect()}
     first, total = [], 0
     for p in sorted(sizes):
         first.append((p, total))
         total += sizes[p]
-    starts = F.broadcast(df.sparkSession.createDataFrame(first, "__part long, __first long"))
-    out = placed.withColumn("__part", part).join(starts, "__part")
-    out = out.withColumn("row_number", F.col("__first") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
-    return out.drop("__part", "__first", "__id"), total
+    starts = F.broadcast(df.sparkSession.createDataFrame(first, f"`{part}` long, `{start}` long"))
+    out = placed.withColumn(part, F.shiftright(place, 33)).join(starts, part)
+    out = out.withColumn("row_number", F.col(start) + F.col(place).bitwiseAND(F.lit((1 << 33) - 1)))
+    return out.drop(part, start, place), total
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name that df has no column of, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
 
 
 def sharded(df: DataFrame, by: list[str], shards: int, scratch: Scratch, seed: int = 0) -> DataFrame:
     """df with row_number, place, shard (0 to shards - 1) and slot (gapless from 0 in each shard).
 
-    Shards differ by one row at most. An empty df gives an empty result. df must not have columns of these names.
+    Shards differ by one row at most. An empty df gives an empty result. Columns of df that have these names give way,
+    but for those in `by`, which may not have them; all others stay, whatever their names.
     """
     rows, total = numbered(df, by, scratch)
     return rows.withColumn("place", permuted(F.col("row_number"), max(1, total), seed)).withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).withColumn("slot", F.expr(f"place div {shards}"))
