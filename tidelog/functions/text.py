@@ -19,7 +19,7 @@ def guid(value: Column) -> Column:
 def parsed_guid(said: Column) -> Column:
     """The 64-bit pattern of 0x-prefixed hexadecimal or decimal digits; null for anything else."""
     s = F.lower(F.trim(said))
-    return F.when(s.rlike("^0x[0-9a-f]{1,16}$"), F.conv(F.substring(s, 3, 16), 16, -10).cast("long")).when(s.rlike("^[0-9]{1,19}$"), s.try_cast("long"))
+    return F.when(s.rlike("^0x[0-9a-f]{1,16}$"), F.conv(F.substring(s, 3, 16), 16, -10).cast("long")).when(s.rlike("^[0-9]{1,20}$"), F.conv(s, 10, -10).cast("long"))
 
 
 def dirent_object(raw: Column) -> Column:

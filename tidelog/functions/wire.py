@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.session import Scratch
+
 RECORD = 312
 SUM_AT = 280
 MAGIC = 0x2F5BACBAC
@@ -165,29 +167,40 @@ def prefix_states(pdf: pd.DataFrame) -> pd.DataFrame:
 def running_fletcher4(rows: DataFrame, run: int = 4096) -> DataFrame:
     """(seq, a, b, c, d): the checksum of all data up to each row (seq from 0 on, data), as signed 64-bit patterns.
 
-    Two levels: rows become partials where they are; runs of `run` rows are summed up each in its group, and only one
-    total per run is summed in a single group.
+    Rows become partials where they are; runs of `run` rows are summed up each in its group, and their totals in turn,
+    level by level, so that no group holds more than a run.
     """
-    parts = rows.select("seq", "data").mapInPandas(partial_batches, PARTIAL).withColumn("run", F.expr(f"seq div {run}"))
-    inner = parts.groupBy("run").applyInPandas(prefix_states, "seq long, a long, b long, c long, d long, n long, run long")
+    scratch = Scratch(rows.sparkSession, "fletcher4")
+    parts = scratch.save(rows.select("seq", "data").mapInPandas(partial_batches, PARTIAL), "partials")
+    return _prefixed(parts, run, scratch, 0).select("seq", "a", "b", "c", "d")
+
+
+def _prefixed(parts: DataFrame, run: int, scratch: Scratch, level: int) -> DataFrame:
+    """PARTIAL rows with the state after each one, and the words so far, in the place of its own."""
+    if parts.limit(run + 1).count() <= run:
+        return parts.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda pdf: _with_words(prefix_states(pdf.drop(columns="one"))), PARTIAL)
+    dealt = parts.withColumn("run", F.expr(f"seq div {run}"))
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         last = prefix_states(pdf.drop(columns="run")).iloc[-1]
         return pd.DataFrame({"seq": [int(pdf["run"].iloc[0])], **{k: [int(last[k])] for k in "abcd"}, "n": [int(pdf["n"].sum())]})
 
-    totals = parts.groupBy("run").applyInPandas(total, PARTIAL)
-    starts = totals.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda pdf: prefix_states(pdf.drop(columns="one")), PARTIAL).select((F.col("seq") + 1).alias("run"), *[F.col(k).alias(f"s{k}") for k in "abcd"])
-
-    def moved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                start = ZERO if pd.isna(r.sa) else tuple(int(x) & _MASK for x in (r.sa, r.sb, r.sc, r.sd))
-                own = tuple(int(x) & _MASK for x in (r.a, r.b, r.c, r.d))
-                out.append((r.seq, *map(signed, joined(start, own, int(r.words)))))
-            yield pd.DataFrame(out, columns=["seq", "a", "b", "c", "d"])
-
-    words = F.sum("n").over(Window.partitionBy("run").orderBy("seq")).alias("words")
-    told = inner.select("run", "seq", "a", "b", "c", "d", words).join(starts, "run", "left")
-    exact = told.select("seq", "a", "b", "c", "d", "words", *[F.col(f"s{k}") for k in "abcd"])
-    return exact.mapInPandas(moved, "seq long, a long, b long, c long, d long")
+    totals = scratch.save(dealt.groupBy("run").applyInPandas(total, PARTIAL), f"totals-{level}")
+    before = _prefixed(totals, run, scratch, level + 1).select((F.col("seq") + 1).alias("run"), *[F.col(k).alias(f"s{k}") for k in "abcdn"])
+
+    def moved(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        start, words = (ZERO, 0) if pd.isna(first["sa"]) else (tuple(int(first[f"s{k}"]) & _MASK for k in "abcd"), int(first["sn"]))
+        own = _with_words(prefix_states(pdf[["seq", "a", "b", "c", "d", "n"]]))
+        out = [tuple(map(signed, joined(start, tuple(int(x) & _MASK for x in r[:4]), int(r[4])))) for r in own[["a", "b", "c", "d", "n"]].itertuples(index=False)]
+        own[["a", "b", "c", "d"]] = pd.DataFrame(out, columns=["a", "b", "c", "d"], index=own.index, dtype="int64")
+        own["n"] += words
+        return own
+
+    return dealt.join(before, "run", "left").groupBy("run").applyInPandas(moved, PARTIAL)
+
+
+def _with_words(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("seq")
+    pdf["n"] = pdf["n"].cumsum()
+    return pdf

@@ -7,6 +7,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.functions import text
 from tidelog.session import Scratch
 
 #: Snapshots that a catalog may hold.
@@ -59,10 +60,11 @@ def selected(snapshots: DataFrame, selectors: DataFrame) -> DataFrame:
     """
     short = F.substring_index("name", "@", -1)
     wanted = F.regexp_replace("selector", "^@", "")
-    guid = F.when(F.lower("selector").rlike("^0x[0-9a-f]{1,15}$"), F.conv(F.substring("selector", 3, 16), 16, 10).cast("long")).when(F.col("selector").rlike("^[0-9]{1,18}$"), F.expr("try_cast(selector as bigint)"))
-    both = selectors.select("selector").crossJoin(F.broadcast(snapshots.select("idx", "name", "to_guid")))
-    rank = F.array(F.when(F.col("name") == F.col("selector"), 1), F.when(short == wanted, 2), F.when(F.col("to_guid") == guid, 3))
-    hits = both.withColumn("rank", F.explode(F.filter(rank, lambda r: r.isNotNull())))
+    asked = selectors.select("selector", wanted.alias("wanted"), text.parsed_guid(F.col("selector")).alias("guid")).distinct()
+    told = snapshots.select("idx", "name", short.alias("short"), "to_guid")
+    ways = [("selector", "name"), ("wanted", "short"), ("guid", "to_guid")]
+    parts = [asked.join(told, F.col(a) == F.col(b)).select("selector", F.lit(k).alias("rank"), "idx") for k, (a, b) in enumerate(ways, 1)]
+    hits = parts[0].union(parts[1]).union(parts[2])
     per = hits.groupBy("selector", "rank").agg(F.count(F.lit(1)).alias("matches"), F.min("idx").alias("idx")).where("matches = 1")
     best = per.groupBy("selector").agg(F.min_by(F.struct("idx", "rank"), "rank").alias("best")).select("selector", "best.idx", "best.rank")
     return selectors.select("selector").distinct().join(best, "selector", "left")

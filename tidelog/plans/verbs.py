@@ -17,9 +17,10 @@ from tidelog.sources import sink, stream
 from tidelog.sources.sink import publish
 
 
-def indexed(spark: SparkSession, path: str) -> DataFrame:
-    """The stream's records without payloads, read and decoded once and written as a table."""
-    return Scratch(spark, "stream").save(stream.records(spark, path), "records")
+def indexed(spark: SparkSession, path: str, objects: list[int] | None = None) -> DataFrame:
+    """The stream's records without payloads, read and decoded once and written as a table; of one object's records
+    only those of some objects, if these are given."""
+    return Scratch(spark, "stream").save(stream.records(spark, path, objects=objects), "records")
 
 
 class Inspection(NamedTuple):
@@ -87,6 +88,8 @@ def log_of(recs: DataFrame, snaps: DataFrame, chain: DataFrame) -> DataFrame:
 def live_log(log: DataFrame) -> DataFrame:
     """Rows of every object that are behind its last free or change of type."""
     frees = log.where("kind = 'FREEOBJECTS'").select("seq", F.col("object").alias("first_object"), "count")
+    if frees.limit(1).count() == 0:
+        return replay.live(log, "object_type")
     return replay.live(replay.expanded_frees(log.where("kind <> 'FREEOBJECTS'"), frees), "object_type")
 
 
@@ -149,7 +152,7 @@ def extract(spark: SparkSession, path: str, object_id: int, size: int, snapshot:
     """(lo, data) rows of an object's bytes as of a snapshot, up to size; what no row covers is zero."""
     if verify:
         inspect(spark, path)
-    recs = indexed(spark, path)
+    recs = indexed(spark, path, [object_id])
     snaps = stream.snapshots(recs)
     chain = lineage.chain(snaps, selected(snaps, snapshot))
     data = read_segments(object_segments(log_of(recs, snaps, chain), object_id))

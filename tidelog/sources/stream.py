@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import wire
 from tidelog.functions.wire import StreamError
+from tidelog.session import Scratch
 from tidelog.sources.ranges import listed, opened
 
 FRAME = "path string, seq long, substream int, header_type int, kind string, at long, payload_length long"
@@ -95,7 +96,10 @@ def _runs(index: DataFrame) -> DataFrame:
     return index.withColumn("run", F.expr(f"at div {RUN}"))
 
 
-def decoded_batches(payloads: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def decoded_batches(payloads: bool, objects: frozenset[int] | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """From FRAME to RECORD rows. Of records that belong to one object only those of `objects` are kept, if given, and
+    only their payloads are read; ranges of objects and the stream's own records always are."""
+
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out, held = [], 0
@@ -104,6 +108,8 @@ def decoded_batches(payloads: bool) -> Callable[[Iterator[pd.DataFrame]], Iterat
                     for r in own.sort_values("at").itertuples(index=False):
                         f.seek(r.at)
                         kind, v = wire.decoded(f.read(wire.RECORD))
+                        if objects is not None and kind in OWNED and v["object"] not in objects:
+                            continue
                         body = f.read(r.payload_length) if payloads else None
                         to_end = kind == "FREE" and v["length"] == wire.TO_END
                         numbers = [None if to_end and n == "length" else (wire.signed(v[n]) if isinstance(v.get(n), int) else None) for n in _NUMBERS]
@@ -125,11 +131,16 @@ def _typed(rows: list[tuple]) -> pd.DataFrame:
     return df.astype({n: "Int64" for n in (*_NUMBERS, "crc")})
 
 
-def records(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
+#: Kinds of records that belong to one object.
+OWNED = ("OBJECT", "WRITE", "WRITE_EMBEDDED", "SPILL", "FREE")
+
+
+def records(spark: SparkSession, path: str, payloads: bool = False, objects: list[int] | None = None) -> DataFrame:
     """One row per record: FRAME, the numbers of its header (64-bit patterns), to_end for frees without a length, name
-    of a BEGIN, and with payloads their bytes and CRC-32. Filters on FRAME columns come before any decoding."""
+    of a BEGIN, and with payloads their bytes and CRC-32. Filters on FRAME columns come before any decoding; a list of
+    objects, which tasks are sent, before any payload is read."""
     index = _runs(frames(spark, path)).repartition(F.col("path"), F.col("run")).drop("run")
-    return index.mapInPandas(decoded_batches(payloads), RECORD)
+    return index.mapInPandas(decoded_batches(payloads, None if objects is None else frozenset(objects)), RECORD)
 
 
 def summed_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,7 +172,8 @@ def verified(spark: SparkSession, path: str) -> DataFrame:
     substream is combined in order before records are compared.
     """
     index = _runs(frames(spark, path)).repartition(F.col("path"), F.col("run"))
-    parts = index.drop("run").mapInPandas(summed_batches, FRAME + ", " + SUMS).withColumn("run", F.expr(f"at div {RUN}"))
+    # written once, as both the totals and the comparison need them: the stream itself is read a single time
+    parts = Scratch(spark, "verified").save(index.drop("run").mapInPandas(summed_batches, FRAME + ", " + SUMS).withColumn("run", F.expr(f"at div {RUN}")), "parts")
     key = ["path", "substream", "run"]
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
