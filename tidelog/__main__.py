@@ -9,8 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-
-from tidelog.plans import catalog, filesystem, nested, pools, verbs
+from tidelog.functions import keys
+from tidelog.plans import catalog, filesystem, nested, pools, raw, verbs
 from tidelog.session import local_session
 from tidelog.sources import partitions, stream
 
@@ -39,9 +39,6 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _key(spark: SparkSession, args: argparse.Namespace) -> bytes | None:
-    from tidelog.functions import keys
-    from tidelog.plans import raw
-
     if not args.key_file:
         return None
     form = raw.requirement(spark, args.source, args.snapshot)
@@ -85,11 +82,14 @@ def answer(spark: SparkSession, args: argparse.Namespace) -> tuple[list[dict], l
     if source.kind == "pool":
         if args.snapshot is None:
             raise ValueError("name a data set or one of its snapshots")
+        pool, key = source.source, None
+        if args.key_file:
+            key = keys.material_of(pool.key_params(args.snapshot).form, args.key_file)
         if args.verb == "list":
-            return rows(pools.list_directory(spark, source.source, args.snapshot, args.path)), ["letter", "size", "name"]
+            return rows(pools.list_directory(spark, pool, args.snapshot, args.path, key)), ["letter", "size", "name"]
         if args.verb == "extract":
-            return [{"sha256": pools.extract(spark, source.source, args.snapshot, args.path, args.target)}], ["sha256"]
-        return [pools.extract_tree(spark, source.source, args.snapshot, args.path, args.target)._asdict()], ["files", "directories", "bytes", "skipped"]
+            return [{"sha256": pools.extract(spark, pool, args.snapshot, args.path, args.target, key=key)}], ["sha256"]
+        return [pools.extract_tree(spark, pool, args.snapshot, args.path, args.target, key=key)._asdict()], ["files", "directories", "bytes", "skipped"]
     session = _session(spark, args)
     if args.verb == "list":
         return rows(nested.list_directory(session, args.path, args.volume).orderBy("pos")), ["letter", "size", "name"]
