@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.sharding import numbered
 from tidelog.llm.shingles import in_pieces, lean
-from tidelog.llm.tokens import VOCABULARY, encoder
+from tidelog.llm.tokens import VOCABULARY, encoder, forget
 from tidelog.session import Scratch
 
 ROOM, END = 4096, 1
@@ -120,7 +120,7 @@ def pieces(documents: DataFrame, room: int = ROOM, end: int = END, vocabulary: s
     """Every row's pieces; a null text is empty and makes one piece that holds the end id alone. Strings of special
     tokens in a text become those tokens' ids, as the library's plain call has it, unless specials is false."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lean(piece_batches(room, end, vocabulary, ids, specials)), PIECE + ", ids binary" * ids)
+    return rows.mapInArrow(lean(piece_batches(room, end, vocabulary, ids, specials), forget), PIECE + ", ids binary" * ids)
 
 
 def placed_batches(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

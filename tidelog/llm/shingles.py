@@ -97,13 +97,15 @@ def shingle_sets(words: np.ndarray, at: np.ndarray, k: int = WORDS) -> Iterator[
 Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def lean(work: Work) -> Work:
+def lean(work: Work, after: Callable[[], None] | None = None) -> Work:
     """The same work; what it no longer needs goes back to the system when a task ends, as workers serve many tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from work(batches)
         finally:
+            if after:
+                after()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
             if trim:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.shingles import in_pieces, lean
-from tidelog.llm.tokens import VOCABULARY, encoder
+from tidelog.llm.tokens import VOCABULARY, encoder, forget
 from tidelog.session import Scratch
 
 #: Id that ends a document: the vocabulary's <|endoftext|>, which no text encodes to.
@@ -73,7 +73,7 @@ def write_tokens(documents: DataFrame, scratch: Scratch, name: str, vocabulary:
     """
     scratch.folder(name)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return scratch.save(rows.mapInArrow(lean(file_batches(scratch.at(name), vocabulary, end, width)), MANIFEST), f"{name}-manifest")
+    return scratch.save(rows.mapInArrow(lean(file_batches(scratch.at(name), vocabulary, end, width), forget), MANIFEST), f"{name}-manifest")
 
 
 def read_range(path: str, start: int, length: int) -> bytes:

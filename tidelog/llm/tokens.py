@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids are kept; a full cache starts anew, so that memory does not follow the vocabulary of the corpus.
-CACHE = 300_000
+CACHE = 150_000
 #: Encoders live in a module of their own in each process, since functions sent to workers get new globals each time.
 _HOME = "tidelog_encoders"
 
@@ -66,6 +66,13 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, self.words(text.lower())))
 
 
+def forget() -> None:
+    """Empties the caches of this process's encoders, as its next task may need the memory for something else."""
+    for e in sys.modules.get(_HOME, types.ModuleType(_HOME)).__dict__.values():
+        if isinstance(e, dict) and hasattr(e, "by_model"):
+            e.clear()
+
+
 def encoder(vocabulary: str = VOCABULARY, specials: bool = True) -> WordEncoder:
     """This process's encoder for a vocabulary."""
     home = sys.modules.setdefault(_HOME, types.ModuleType(_HOME)).__dict__
