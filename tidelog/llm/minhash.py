@@ -147,12 +147,13 @@ def set_batches(words: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return work
 
 
-def sets_of(ids: DataFrame, documents: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def sets_of(ids: DataFrame, documents: DataFrame, scratch: Scratch, name: str, parts: int | None = None) -> DataFrame:
     """(doc_id, shingles) for ids (one column), and for some documents more.
 
     The sets are made from the texts anew, where these are read: a Bloom filter picks the texts, so none is shuffled.
+    The ids are written in `parts` if given.
     """
-    need = scratch.save(ids.toDF("doc_id").distinct(), f"{name}-need")
+    need = scratch.save(ids.toDF("doc_id").distinct(), f"{name}-need", parts)
     words = bloom(need, need.count())
     bit = [F.xxhash64("doc_id", F.lit(k)).bitwiseAND(F.lit(64 * len(words) - 1)) for k in (1, 2)]
     made = documents.where("doc_id is not null").select("doc_id", "text", *[b.alias(f"bit_{k}") for k, b in enumerate(bit)]).mapInArrow(lean(set_batches(words)), "doc_id long, shingles array<long>")
@@ -239,39 +240,40 @@ def grouped(documents: DataFrame, scratch: Scratch, percent: int = 80, bands: in
     full = sketches.where("n_shingles > 0 and doc_id is not null")
     prints = ["print_a", "print_b", "n_shingles"]
     copies = full.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
-    copies = scratch.save(copies, "copies")
-    members = scratch.save(sketches.join(copies, prints, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"), F.when(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")), F.col("bands")).alias("bands")), "members")
+    few = scratch.parts("sketches")
+    copies = scratch.save(copies, "copies", few)
+    members = scratch.save(sketches.join(copies, prints, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"), F.when(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")), F.col("bands")).alias("bands")), "members", few)
     scratch.drop("copies")
 
     entries = members.where("n_shingles > 0 and rep is not null").select("rep", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size")).where("center < last").drop("last")
-    shared = scratch.save(shared, "shared")
-    buckets = scratch.save(entries.join(shared, "bucket").select("bucket", "rep", "center", "size"), "buckets")
+    shared = scratch.save(shared, "shared", few)
+    buckets = scratch.save(entries.join(shared, "bucket").select("bucket", "rep", "center", "size"), "buckets", few)
     scratch.drop("shared")
-    starred = scratch.save(buckets.where("center < rep").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "starred")
+    starred = scratch.save(buckets.where("center < rep").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "starred", few)
     signatures = sketches.where("n_shingles > 0 and doc_id is not null").select("doc_id", "signature")
-    near = scratch.save(alike(starred, signatures, percent), "near")
-    sets = sets_of(near.select("a").union(near.select("b")), narrow, scratch, "star-sets")
-    links = scratch.save(verified(near, sets, percent), "star-links")
+    near = scratch.save(alike(starred, signatures, percent), "near", few)
+    sets = sets_of(near.select("a").union(near.select("b")), narrow, scratch, "star-sets", few)
+    links = scratch.save(verified(near, sets, percent), "star-links", max(few, scratch.parts("star-sets")))
     scratch.drop("star-sets", "near")
-    labels = components(links, scratch, "stars")
+    labels = components(links, scratch, "stars", few)
 
     # What stars left apart within a bucket: members outside its largest component are compared with all of others.
-    placed = scratch.save(buckets.join(labels, buckets["rep"] == labels["node"], "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label")), "placed")
+    placed = scratch.save(buckets.join(labels, buckets["rep"] == labels["node"], "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label")), "placed", few)
     scratch.drop("buckets")
     parts = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     apart = parts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("minors")).where("labels > 1")
-    apart = scratch.save(apart.select("bucket", "main", "size", "minors"), "apart")
-    left = scratch.save(placed.join(apart, "bucket").select("bucket", "rep", "label", "size", "minors", (F.col("label") != F.col("main")).alias("minor")), "left")
+    apart = scratch.save(apart.select("bucket", "main", "size", "minors"), "apart", few)
+    left = scratch.save(placed.join(apart, "bucket").select("bucket", "rep", "label", "size", "minors", (F.col("label") != F.col("main")).alias("minor")), "left", few)
     scratch.drop("apart", "placed")
     small = left.where(f"size <= {SMALL}")
     x = small.where("minor").select("bucket", F.col("rep").alias("x"), F.col("label").alias("lx"))
     y = small.select("bucket", F.col("rep").alias("y"), F.col("label").alias("ly"))
     pairs = x.join(y, "bucket").where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    near = scratch.save(alike(pairs.join(starred, ["a", "b"], "left_anti"), signatures, percent), "near")
+    near = scratch.save(alike(pairs.join(starred, ["a", "b"], "left_anti"), signatures, percent), "near", few)
     large = left.where(f"size > {SMALL}")
-    sets = sets_of(near.select("a").union(near.select("b")).union(large.select("rep")), narrow, scratch, "rest-sets")
-    more = scratch.save(verified(near, sets, percent), "rest-links")
+    sets = sets_of(near.select("a").union(near.select("b")).union(large.select("rep")), narrow, scratch, "rest-sets", few)
+    more = scratch.save(verified(near, sets, percent), "rest-links", max(few, scratch.parts("rest-sets")))
 
     whole = sketches.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("rep"), "signature", "bands")
     large = large.join(whole, "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
@@ -282,7 +284,7 @@ def grouped(documents: DataFrame, scratch: Scratch, percent: int = 80, bands: in
     asking = large.where("minor").select("bucket", at("minors").alias("i"), every("size").alias("j"), F.lit(True).alias("asks"), *told)
     blocks = scratch.save(asked.union(asking).groupBy("bucket", "i", "j").applyInArrow(block_links(percent), "a long, b long").distinct(), "block-links")
     more = more.union(blocks)
-    final = components(links.union(more), scratch, "all")
+    final = components(links.union(more), scratch, "all", few)
     scratch.drop("sketches", "starred", "rest-sets", "near", "left")
 
     out = members.join(final, members["rep"] == final["node"], "left")
@@ -293,7 +295,8 @@ def grouped(documents: DataFrame, scratch: Scratch, percent: int = 80, bands: in
 def deduplicated(documents: DataFrame, percent: int = 80) -> DataFrame:
     """documents without the rows whose doc_id is not the smallest of its group; all columns stay as they are."""
     scratch = Scratch(documents.sparkSession, "minhash")
-    gone = scratch.save(grouped(documents, scratch, percent).where("not kept").select("doc_id").distinct(), "gone")
+    groups = grouped(documents, scratch, percent)
+    gone = scratch.save(groups.where("not kept").select("doc_id").distinct(), "gone", scratch.parts("members"))
     return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
 
 

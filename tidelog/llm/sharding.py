@@ -7,6 +7,7 @@ modulo the shard count is the shard, the quotient is the slot: both follow from
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +69,9 @@ def numbered(df: DataFrame, by: list[str], scratch: Scratch, name: str = "number
     for p in sorted(sizes):
         first.append((p, total))
         total += sizes[p]
-    starts = F.broadcast(df.sparkSession.createDataFrame(first, f"`{part}` long, `{start}` long"))
+    # from Arrow, as Spark would keep a second daemon and workers for rows of Python
+    told = pa.table([pa.array([p[k] for p in first], pa.int64()) for k in (0, 1)], names=[part, start])
+    starts = F.broadcast(df.sparkSession.createDataFrame(told))
     out = placed.withColumn(part, F.shiftright(place, 33)).join(starts, part)
     out = out.withColumn("row_number", F.col(start) + F.col(place).bitwiseAND(F.lit((1 << 33) - 1)))
     return out.drop(part, start, place), total

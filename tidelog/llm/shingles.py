@@ -94,6 +94,15 @@ def shingle_sets(words: np.ndarray, at: np.ndarray, k: int = WORDS) -> Iterator[
             yield np.zeros(0, np.uint64)
 
 
+def release() -> None:
+    """Drops this process's tables, and gives the system back what is free."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -106,10 +115,7 @@ def lean(work: Work, after: Callable[[], None] | None = None) -> Work:
         finally:
             if after:
                 after()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            release()
 
     return run
 

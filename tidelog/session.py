@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Where scratch tables go in tests and other runs on one machine whose session names no folder.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tidelog"
+#: Bytes of written tables for which a table made from them is given a part of its own, and its least parts a core.
+PART, LEAST = 2 << 20, 4
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -57,8 +59,21 @@ class Scratch:
     def at(self, name: str) -> str:
         return f"{self.top}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and read it again: its rows are then fixed, whatever executors are lost later."""
+    def parts(self, *names: str) -> int:
+        """In how many parts a table made from these written ones is to be written: as their bytes ask for, so that
+        large tables keep all of Spark's partitions and small ones aren't strewn over hundreds of files."""
+        size = sum(n for name in names for _, n in self.files(name))
+        return max(LEAST * self.spark.sparkContext.defaultParallelism, -(-size // PART))
+
+    def save(self, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+        """Write df as Parquet and read it again: its rows are then fixed, whatever executors are lost later.
+
+        Every part costs executors a task and, on a local file system without Hadoop's native library, three processes
+        that set permissions, each of which is for a moment a second copy of the JVM. With `parts`, partitions are
+        merged to that many, without another shuffle, where Spark shuffles to more.
+        """
+        if parts is not None and parts < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(parts)
         df.write.mode("overwrite").parquet(self.at(name))
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
