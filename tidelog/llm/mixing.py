@@ -232,7 +232,7 @@ def mixed(documents: DataFrame, fraction: float, lang: dict[str, float] | None,
     all taken or all left. Languages that `lang` gives no weight keep their tempered share; it parts the rest."""
     scratch = Scratch(documents.sparkSession, "mixing")
     rows = scratch.save(margined(documents, topics_of(documents), whole), "rows")
-    cells = scratch.save(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n_tokens")), "sums")
+    cells = scratch.save(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n_tokens")), "sums", scratch.parts("rows"))
     langs = tempered(cells, "lang", lang_power) if lang is None else completed(cells, "lang", lang, lang_power)
     margins = [Margin("source", tempered(cells, "source", source_power)), Margin("lang", langs), Margin("topic", tempered(cells, "topic", topic_power), "lang")]
     found = scratch.save(raked(cells, margins, fraction, scratch).drop("n_tokens"), "raked")
